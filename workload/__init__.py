@@ -1,0 +1,15 @@
+"""Registered queries over the driver tables."""
+
+from __future__ import annotations
+
+import importlib
+
+MODULES = ("q_urls",)
+
+
+def all_queries():
+    from workload.registry import QUERIES, SQL
+
+    for m in MODULES:
+        importlib.import_module(f"workload.{m}")
+    return QUERIES, SQL
