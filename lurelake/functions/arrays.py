@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, functions as F
 
 
+def constant(value, schema: str) -> Column:
+    """A nested constant as one folded literal; the plan stays small for long lists."""
+    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), schema)
+
+
 def literal_array(values) -> Column:
-    values = list(values)
-    if not values:
-        return F.array().cast("array<string>")
-    return F.array(*[F.lit(v) for v in values])
+    return constant(list(values), "array<string>")
+
+
+def in_list(value: Column, values) -> Column:
+    """Membership in a parameter list."""
+    return F.array_contains(literal_array(values), value)
+
+
+def let(value: Column, body) -> Column:
+    """Bind a value once and use it many times inside one expression.
+
+    Without it every use repeats the whole sub-expression in the plan and at run time.
+    """
+    return F.transform(F.array(value), body).getItem(0)
 
 
 def first_by_key(arr: Column, key) -> Column:
@@ -20,13 +37,16 @@ def first_by_key(arr: Column, key) -> Column:
     tagged = F.array_sort(
         F.transform(arr, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("v")))
     )
-    previous = F.concat(
-        F.array(F.lit(None).cast("string")), F.transform(tagged, lambda t: t["k"])
-    )
-    pairs = F.zip_with(tagged, previous, lambda t, p: F.struct(t.alias("t"), p.alias("p")))
-    firsts = F.filter(pairs, lambda z: z["t"].isNotNull() & ~z["t"]["k"].eqNullSafe(z["p"]))
-    ordered = F.array_sort(F.transform(firsts, lambda z: F.struct(z["t"]["i"], z["t"]["v"])))
-    return F.transform(ordered, lambda s: s["v"])
+
+    def firsts(rows):
+        previous = F.concat(
+            F.array(F.lit(None).cast("string")), F.transform(rows, lambda t: t["k"])
+        )
+        pairs = F.zip_with(rows, previous, lambda t, p: F.struct(t.alias("t"), p.alias("p")))
+        kept = F.filter(pairs, lambda z: z["t"].isNotNull() & ~z["t"]["k"].eqNullSafe(z["p"]))
+        return F.array_sort(F.transform(kept, lambda z: F.struct(z["t"]["i"], z["t"]["v"])))
+
+    return F.transform(let(tagged, firsts), lambda s: s["v"])
 
 
 def contained_words(text: Column, words) -> Column:
@@ -37,10 +57,7 @@ def contained_words(text: Column, words) -> Column:
 
 def any_contained(text: Column, words) -> Column:
     """True where the lower-cased text contains one of the words (short-circuits)."""
-    test = F.lit(False)
-    for w in words:
-        test = test | text.contains(w)
-    return test
+    return F.exists(literal_array(words), lambda w: text.contains(w))
 
 
 def occurrences(text: Column, char: str) -> Column:
@@ -53,10 +70,9 @@ def round6(value: Column) -> Column:
 
 def weighted_lookup(key: Column, table: dict, default: float) -> Column:
     """Constant lookup as one folded map, so it stays an expression and needs no join."""
-    pairs = [part for k, v in table.items() for part in (F.lit(k), F.lit(float(v)))]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), key), F.lit(float(default)))
+    found = F.try_element_at(constant(table, "map<string,double>"), key)
+    return F.coalesce(found, F.lit(float(default)))
 
 
 def text_lookup(key: Column, table: dict) -> Column:
-    pairs = [part for k, v in table.items() for part in (F.lit(k), F.lit(v))]
-    return F.try_element_at(F.create_map(*pairs), key)
+    return F.try_element_at(constant(table, "map<string,string>"), key)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from lurelake.functions import urls as U
+from lurelake.functions.arrays import in_list
 
 OPAQUE = (
     r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
@@ -69,7 +70,7 @@ def self_refs(links: Column, page_host: Column) -> Column:
 
 def has_social(links: Column, social) -> Column:
     def social_link(h):
-        return h.startswith("http") & F.regexp_replace(U.host(h), r"^www\.", "").isin(list(social))
+        return h.startswith("http") & in_list(F.regexp_replace(U.host(h), r"^www\.", ""), social)
 
     return F.exists(links, social_link).cast("int")
 

@@ -6,10 +6,11 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 from lurelake import params as P
 from lurelake.functions import urls as U
-from lurelake.functions.arrays import first_by_key
+from lurelake.functions.arrays import first_by_key, let
 
 ZERO_WIDTH = "\u200b\ufeff"
 EMAIL = r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,7}\b"
@@ -50,7 +51,7 @@ def strip_zero_width(text: Column) -> Column:
     return F.regexp_replace(t, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
@@ -128,10 +129,10 @@ def split_link_token(token: Column) -> Column:
     """(url, suffix) of one token: placeholders have no url, URLs lose end punctuation."""
     is_url = ~token.rlike(rf"(?i)^(?:{TYPED_TOKEN}|\[LINK_\d+\]|{URL_TOKEN})$")
     url = F.when(is_url, F.rtrim(token, F.lit(".,;:!?)>\"'"))).otherwise(F.lit(""))
-    suffix = F.when(is_url, F.substring(token, F.length(url) + 1, F.length(token))).otherwise(
-        F.lit("")
-    )
-    return F.struct(url.alias("url"), suffix.alias("suffix"))
+    return let(url, lambda u: F.struct(
+        u.alias("url"),
+        F.when(u != "", F.substring(token, F.length(u) + 1, F.length(token))).otherwise(
+            F.lit("")).alias("suffix")))
 
 
 def masked_text(text: Column, tokens: Column, already: Column) -> Column:
@@ -182,15 +183,18 @@ def auth_status(headers: Column, key: str) -> Column:
     return F.when(found == "", F.lit("none")).otherwise(F.coalesce(found, F.lit("none")))
 
 
-def header_domain(headers: Column, name: str, suffixes=P.PUBLIC_SUFFIXES) -> Column:
-    """Registered domain of an address header; the From display name is skipped."""
+def header_address(headers: Column, name: str) -> Column:
+    """Address text of a mail header; the display name of From is skipped."""
     if name == "Message-ID":
-        address = F.regexp_extract(headers, r"(?im)^Message-ID:\s*<[^@\s]+@([^>\s]+)>", 1)
-    elif name == "From":
+        return F.regexp_extract(headers, r"(?im)^Message-ID:\s*<[^@\s]+@([^>\s]+)>", 1)
+    if name == "From":
         line = F.regexp_extract(headers, r"(?im)^From:[ \t]*([^\n]*)", 1)
-        address = sender_address(line)
-    else:
-        address = F.regexp_extract(headers, rf"(?im)^{name}:\s*<?([^>\s]+)>?", 1)
+        return let(line, sender_address)
+    return F.regexp_extract(headers, rf"(?im)^{name}:\s*<?([^>\s]+)>?", 1)
+
+
+def header_domain(headers: Column, name: str, suffixes=P.PUBLIC_SUFFIXES) -> Column:
+    address = header_address(headers, name)
     return F.coalesce(U.registered_domain(address, suffixes), F.lit(""))
 
 

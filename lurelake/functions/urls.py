@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from lurelake import params as P
-from lurelake.functions.arrays import round6
+from lurelake.functions.arrays import any_contained, in_list, let, literal_array, round6
 
 
 def normalize(url: Column) -> Column:
@@ -32,8 +32,7 @@ def defang_undo(text: Column) -> Column:
 def refang(url: Column) -> Column:
     """Undo defanging, then give the link a scheme when it has none."""
     u = defang_undo(F.trim(F.coalesce(url, F.lit(""))))
-    explicit = u.startswith("http://") | u.startswith("https://")
-    return F.when(explicit, u).otherwise(F.concat(F.lit("http://"), u))
+    return F.regexp_replace(u, "^(?!https?://)", "http://")
 
 
 def scheme(url: Column) -> Column:
@@ -97,18 +96,25 @@ def is_ip(host_col: Column) -> Column:
 
 def suffix_of(host_col: Column, suffixes=P.PUBLIC_SUFFIXES) -> Column:
     """Longest known public suffix of a host (up to three labels), '' when unknown."""
-    table = list(suffixes)
-    deep = [s for s in table if s.count(".") == 2]
-    middle = [s for s in table if s.count(".") == 1]
-    flat = [s for s in table if "." not in s]
     out = F.lit("")
-    for depth, names in ((1, flat), (2, middle), (3, deep)):
+    for depth in (1, 2, 3):
+        names = [s for s in suffixes if s.count(".") == depth - 1]
         if names:
             tail = F.substring_index(host_col, ".", -depth)
-            out = F.when(tail.isin(names), tail).otherwise(out)
+            out = F.when(in_list(tail, names), tail).otherwise(out)
     return out
 
 
+def registered_name(domain: str, suffixes=P.PUBLIC_SUFFIXES) -> str:
+    """Registered domain of a parameter value given as a plain host name."""
+    labels = domain.lower().strip().split(".")
+    known = set(suffixes)
+    for i in range(1, len(labels)):
+        if ".".join(labels[i:]) in known:
+            return ".".join(labels[i - 1:])
+    return ""
+
+
 def registered_from(host_col: Column, suf: Column) -> Column:
     """Registered domain of a host whose public suffix is already known."""
     head = F.substring(host_col, F.lit(1), F.length(host_col) - F.length(suf) - 1)
@@ -119,7 +125,8 @@ def registered_from(host_col: Column, suf: Column) -> Column:
 
 def registered_of_host(host_col: Column, suffixes=P.PUBLIC_SUFFIXES) -> Column:
     """Registered domain: the public suffix and the label before it, else ''."""
-    return registered_from(host_col, suffix_of(host_col, suffixes))
+    return let(host_col, lambda h: let(
+        suffix_of(h, suffixes), lambda s: registered_from(h, s)))
 
 
 def address_host(value: Column) -> Column:
@@ -190,10 +197,7 @@ def query_keys(query_col: Column, keep_blank: bool = True) -> Column:
 
 def words_contained(text: Column, words) -> Column:
     """How many of the words occur in the text (each counted once)."""
-    total = F.lit(0)
-    for w in words:
-        total = total + text.contains(w).cast("int")
-    return total
+    return F.size(F.filter(literal_array(words), lambda w: text.contains(w)))
 
 
 def group_host(value: Column) -> Column:
@@ -208,7 +212,7 @@ def group_host(value: Column) -> Column:
 def group_key(h: Column, reg: Column, shared_hosts=P.SHARED_HOSTS) -> Column:
     """Split key of a host: IPs and shared-hosting hosts as they are, else the registered
     domain, else the host itself."""
-    own_host = is_ip(h) | (reg == "") | (reg.isin(list(shared_hosts)) & (h != reg))
+    own_host = is_ip(h) | (reg == "") | (in_list(reg, shared_hosts) & (h != reg))
     return F.when(own_host, h).otherwise(reg)
 
 
@@ -230,9 +234,13 @@ CLEAN_REJECT = r"(?i)(\[URL\]|<URL>|example\.com|placeholder|localhost|127\.0\.0
 
 def cleaned_link(url: Column) -> Column:
     """Link without trailing punctuation, or NULL when it is no usable URL."""
-    u = F.rtrim(F.trim(url), F.lit(".,;:!?)>\"'"))
-    ok = (F.length(u) >= 10) & u.rlike(r"(?i)^(https?://|www\.)") & ~u.rlike(CLEAN_REJECT)
-    return F.when(ok, u)
+    bare = F.rtrim(F.trim(url), F.lit(".,;:!?)>\"'"))
+
+    def usable(u):
+        ok = (F.length(u) >= 10) & u.rlike(r"(?i)^(https?://|www\.)") & ~u.rlike(CLEAN_REJECT)
+        return F.when(ok, u)
+
+    return let(bare, usable)
 
 
 def content_url(url: Column) -> Column:
@@ -243,16 +251,19 @@ def content_url(url: Column) -> Column:
         scheme(u).isin("http", "https")
         & (netloc(u) != "")
         & ~p.isin("", "/")
-        & ~path_extension(p).isin(list(P.SKIP_EXTENSIONS))
+        & ~in_list(path_extension(p), P.SKIP_EXTENSIONS)
     )
 
 
 def squatting(domain: Column, official: Column) -> Column:
     """True where the domain's main label imitates the official one."""
-    d, o = squat_main(domain), squat_main(official)
-    return F.when(
-        (F.trim(domain) == "") | (F.trim(official) == "") | (d == o), F.lit(False)
-    ).otherwise(squat_by_affix(d, o) | squat_by_distance(d, o))
+    usable = (F.trim(domain) != "") & (F.trim(official) != "")
+    imitates = let(
+        F.struct(squat_main(domain).alias("d"), squat_main(official).alias("o")),
+        lambda s: (s["d"] != s["o"])
+        & (squat_by_affix(s["d"], s["o"]) | squat_by_distance(s["d"], s["o"])),
+    )
+    return usable & imitates
 
 
 def squat_main(domain: Column) -> Column:
@@ -261,10 +272,7 @@ def squat_main(domain: Column) -> Column:
 
 
 def has_squat_affix(main: Column) -> Column:
-    test = F.lit(False)
-    for s in P.SQUAT_AFFIXES:
-        test = test | main.contains(s)
-    return test
+    return any_contained(main, P.SQUAT_AFFIXES)
 
 
 def squat_by_affix(d: Column, o: Column) -> Column:
