@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def constant(value, schema: str) -> Column:
@@ -76,3 +76,14 @@ def weighted_lookup(key: Column, table: dict, default: float) -> Column:
 
 def text_lookup(key: Column, table: dict) -> Column:
     return F.try_element_at(constant(table, "map<string,string>"), key)
+
+
+def exploded(df: DataFrame, keys, array_col: str) -> DataFrame:
+    """(keys, pos, item) rows of an array column.
+
+    The outer form is used on purpose: for the inner one the optimizer infers a filter on
+    the array, which would evaluate a computed array once more per row.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    long = df.select(*keys, F.posexplode_outer(array_col).alias("pos", "item"))
+    return long.where(F.col("pos").isNotNull())

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lurelake import params as P
 from lurelake.functions import text as T
-from lurelake.functions.arrays import contained_words
+from lurelake.functions.arrays import contained_words, exploded
 
 TEXT_ALIASES = {
     "text": ("text", "Text"),
@@ -41,8 +41,8 @@ def sender_address(df: DataFrame, col: str = "sender") -> DataFrame:
 def extract_urls(df: DataFrame, id_col: str = "msg_id", text_col: str = "text") -> DataFrame:
     """Long table of the links of each text: (id, pos, url, raw_url)."""
     links = df.select(id_col, T.extract_links(F.col(text_col)).alias("_links"))
-    return links.select(id_col, F.posexplode("_links").alias("pos", "_l")).select(
-        id_col, "pos", F.col("_l.norm").alias("url"), F.col("_l.raw").alias("raw_url"))
+    return exploded(links, id_col, "_links").select(
+        id_col, "pos", F.col("item.norm").alias("url"), F.col("item.raw").alias("raw_url"))
 
 
 def collapse_whitespace(df: DataFrame, col: str) -> DataFrame:
@@ -78,15 +78,19 @@ def mask_links(df: DataFrame) -> DataFrame:
         out = out.withColumn(f"_t_{f}", T.link_tokens(F.col(f)))
     before = F.lit(0)
     masked, metadata = {}, []
+
+    def described(field, start):
+        return lambda t, i: F.struct(
+            F.lit(field).alias("field"),
+            T.split_link_token(t)["url"].alias("url"),
+            F.concat(F.lit("[LINK_"), (start + i + 1).cast("string"), F.lit("]"))
+            .alias("placeholder"),
+        )
+
     for f in fields:
         tokens = F.col(f"_t_{f}")
         masked[f"{f}_masked"] = T.masked_text(F.col(f), tokens, before)
-        start = before
-        metadata.append(F.transform(tokens, lambda t, i, f=f, start=start: F.struct(
-            F.lit(f).alias("field"),
-            T.split_link_token(t)["url"].alias("url"),
-            F.concat(F.lit("[LINK_"), (start + i + 1).cast("string"), F.lit("]")).alias("placeholder"),
-        )))
+        metadata.append(F.transform(tokens, described(f, before)))
         before = before + F.size(tokens)
     out = out.withColumns(masked).withColumn("link_metadata", F.concat(*metadata))
     return out.drop(*[f"_t_{f}" for f in fields])
@@ -94,7 +98,7 @@ def mask_links(df: DataFrame) -> DataFrame:
 
 def link_table(masked: DataFrame, id_col: str = "msg_id") -> DataFrame:
     """Long table of the masked links: (id, field, url, placeholder)."""
-    return masked.select(id_col, F.explode("link_metadata").alias("m")).select(id_col, "m.*")
+    return exploded(masked, id_col, "link_metadata").select(id_col, "item.*")
 
 
 def build_prompt(df: DataFrame) -> DataFrame:

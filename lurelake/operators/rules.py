@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lurelake import params as P
 from lurelake.functions import brands as B, text as T, urls as U
 from lurelake.functions.arrays import (
-    any_contained, contained_words, first_by_key, in_list, let, literal_array,
+    any_contained, contained_words, exploded, first_by_key, in_list, let, literal_array,
     weighted_lookup,
 )
 
@@ -317,8 +317,7 @@ def _with_blacklist(rows: DataFrame, blacklist: DataFrame, id_col: str) -> DataF
 
 def signal_table(rules: DataFrame, id_col: str = "msg_id") -> DataFrame:
     """Long table (id, pos, signal, severity, title, matched_text, confidence, ...)."""
-    return rules.select(id_col, F.posexplode("signals").alias("pos", "s")).select(
-        id_col, "pos", "s.*")
+    return exploded(rules, id_col, "signals").select(id_col, "pos", "item.*")
 
 
 def severity_rank(col: Column) -> Column:

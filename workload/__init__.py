@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_urls",)
+MODULES = ("q_urls", "q_messages")
 
 
 def all_queries():
