@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_urls", "q_messages")
+MODULES = ("q_urls", "q_messages", "q_answers")
 
 
 def all_queries():
