@@ -8,7 +8,7 @@ from pyspark.sql.types import StringType
 
 from lurelake import params as P
 from lurelake.functions import text as T
-from lurelake.functions.arrays import constant, in_list, let, weighted_lookup
+from lurelake.functions.arrays import constant, in_list, let, py_round, weighted_lookup
 from lurelake.functions.brands import JAVA_SPECIAL
 
 ANSWER_SCHEMA = (
@@ -115,7 +115,7 @@ def risk_score(label: Column, evidence: Column) -> Column:
             total = total + F.when(F.array_contains(ns, a) & F.array_contains(ns, b), 0.08).otherwise(0.0)
         return total
 
-    score = F.bround(F.least(base + let(names, pairs), F.lit(0.98)), 4)
+    score = py_round(F.least(base + let(names, pairs), F.lit(0.98)), 4)
     return (F.when(label == "legit", F.lit(0.05))
             .when((label != "phishing") | (F.size(evidence) == 0), F.lit(0.50)).otherwise(score))
 

@@ -65,7 +65,7 @@ def occurrences(text: Column, char: str) -> Column:
 
 
 def round6(value: Column) -> Column:
-    return F.bround(value, 6)
+    return py_round(value, 6)
 
 
 def weighted_lookup(key: Column, table: dict, default: float) -> Column:
@@ -87,3 +87,29 @@ def exploded(df: DataFrame, keys, array_col: str) -> DataFrame:
     keys = [keys] if isinstance(keys, str) else list(keys)
     long = df.select(*keys, F.posexplode_outer(array_col).alias("pos", "item"))
     return long.where(F.col("pos").isNotNull())
+
+
+def py_round(value: Column, digits: int) -> Column:
+    """Round on the exact binary value, ties to even.
+
+    Spark's own rounding works on the shortest decimal form of a double, which differs only
+    where that form looks like a tie.  There, the double is scaled by a power of two to an
+    integer and compared with the midpoint in exact decimal arithmetic.
+    """
+    def rounded(v):
+        scaled = v * float(10 ** digits)
+        tie = F.abs(scaled - F.floor(scaled) - 0.5) <= 1e-6
+        return F.when(tie, _round_binary(v, digits)).otherwise(F.bround(v, digits))
+
+    return let(value, rounded)
+
+
+def _round_binary(v: Column, digits: int) -> Column:
+    small = v < 1.9
+    unit = F.when(small, F.lit(2.0 ** 62)).otherwise(F.lit(2.0 ** 52))
+    whole = F.when(small, F.lit(2 ** 62)).otherwise(F.lit(2 ** 52)).cast("decimal(19,0)")
+    target = (v * unit).cast("long").cast("decimal(19,0)") * F.lit(10 ** digits).cast("decimal(7,0)")
+    q = F.floor(v * float(10 ** digits)).cast("decimal(18,0)")
+    twice = (target - q * whole) * F.lit(2).cast("decimal(1,0)")
+    up = (twice > whole) | ((twice == whole) & (q % 2 == 1))
+    return (q + up.cast("int")).cast("double") / float(10 ** digits)

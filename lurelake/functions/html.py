@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from lurelake.functions import urls as U
-from lurelake.functions.arrays import in_list
+from lurelake.functions.arrays import in_list, py_round
 
 OPAQUE = (
     r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
@@ -119,7 +119,7 @@ def title_match_score(page_host: Column, title_col: Column) -> Column:
     stem = host_stem(page_host)
     run = shared_run(stem, title_col)
     return F.when((stem == "") | (title_col == ""), F.lit(0.0)).otherwise(
-        F.bround(run / F.length(stem) * 100, 6)
+        py_round(run / F.length(stem) * 100, 6)
     )
 
 

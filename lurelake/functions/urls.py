@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from lurelake import params as P
-from lurelake.functions.arrays import any_contained, in_list, let, literal_array, round6
+from lurelake.functions.arrays import any_contained, in_list, let, literal_array
 
 
 def normalize(url: Column) -> Column:
@@ -183,7 +183,7 @@ def entropy(text: Column) -> Column:
         return acc - p * F.log2(p)
 
     bits = F.aggregate(F.filter(chars, lambda c: c != ""), F.lit(0.0), term)
-    return F.when(n > 0, round6(bits)).otherwise(F.lit(0.0))
+    return F.when(n > 0, F.round(bits, 6)).otherwise(F.lit(0.0))
 
 
 def query_keys(query_col: Column, keep_blank: bool = True) -> Column:

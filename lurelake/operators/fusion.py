@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lurelake import params as P
+from lurelake.functions.arrays import py_round
 from lurelake.operators.joins import join_layers
 
 
@@ -24,8 +25,8 @@ def url_verdict(df: DataFrame, policy: P.UrlModelPolicy = P.UrlModelPolicy()) ->
         "url_label": F.when(failed, F.lit("")).when(phishing, F.lit("Phishing"))
         .otherwise(F.lit("Legitimate")),
         "confidence": F.when(failed, F.lit(0.0)).otherwise(
-            F.bround(F.when(phishing, p).otherwise(1.0 - p), 4)),
-        "phishing_score": F.when(failed, F.lit(0.0)).otherwise(F.bround(p, 4)),
+            py_round(F.when(phishing, p).otherwise(1.0 - p), 4)),
+        "phishing_score": F.when(failed, F.lit(0.0)).otherwise(py_round(p, 4)),
         "fetch_success": ~failed & F.col("html_score").isNotNull(),
         "signals": F.when(~failed & phishing, F.array(F.lit("domain_spoofing"))).otherwise(empty),
     })
@@ -79,13 +80,13 @@ def layer_scores(df: DataFrame) -> DataFrame:
         usable = usable & F.col("answer_error").isNull()
     return df.withColumns({
         "rule_layer_score": rule,
-        "url_layer_score": F.bround("url_score", 4),
-        "answer_layer_score": F.when(usable, F.bround("answer_score", 4)),
+        "url_layer_score": py_round(F.col("url_score"), 4),
+        "answer_layer_score": F.when(usable, py_round(F.col("answer_score"), 4)),
     })
 
 
 def _two_digits(score: Column) -> Column:
-    return F.format_string("%.2f", F.bround(score, 2))
+    return F.format_string("%.2f", py_round(score, 2))
 
 
 def fuse_verdict(df: DataFrame, policy: P.FusionPolicy = P.FusionPolicy()) -> DataFrame:
@@ -109,9 +110,9 @@ def fuse_verdict(df: DataFrame, policy: P.FusionPolicy = P.FusionPolicy()) -> Da
         for k in layers
     })
     parts = [F.coalesce(F.col(f"weight_{k}") * F.col(scores[k]), F.lit(0.0)) for k in layers]
-    fused = F.bround(F.greatest(F.least(sum(parts[1:], parts[0]), F.lit(1.0)), F.lit(0.0)), 4)
+    fused = py_round(F.greatest(F.least(sum(parts[1:], parts[0]), F.lit(1.0)), F.lit(0.0)), 4)
     active = F.col("_n") > 0
-    spread = F.bround(F.greatest(*scores.values()) - F.least(*scores.values()), 4)
+    spread = py_round(F.greatest(*scores.values()) - F.least(*scores.values()), 4)
     out = out.withColumns({
         "risk_score": F.when(active, fused).otherwise(F.lit(0.50)),
         "disagreement": F.when(F.col("_n") >= 2, spread).otherwise(F.lit(0.0)),
@@ -124,7 +125,7 @@ def fuse_verdict(df: DataFrame, policy: P.FusionPolicy = P.FusionPolicy()) -> Da
               F.lit("suspicious"))
         .otherwise(F.lit("legit"))
     )
-    confidence = F.bround(F.least(
+    confidence = py_round(F.least(
         (0.5 + 0.15 * F.col("_n")) * (1 - 0.5 * gap), F.lit(1.0)), 4)
     out = out.withColumns({
         "label": label,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lurelake import params as P
 from lurelake.functions import text as T, urls as U
-from lurelake.functions.arrays import first_by_key, occurrences, round6
+from lurelake.functions.arrays import first_by_key, occurrences, py_round, round6
 
 
 def url_normalize(df: DataFrame, url_col: str = "url") -> DataFrame:
@@ -259,9 +259,9 @@ def ratios_legacy(df: DataFrame, url_col: str = "url") -> DataFrame:
         (occurrences(s, c) for c in ("=", "?", "&")), F.lit(0)
     )
     return df.withColumns({
-        "LetterRatioInURL": F.bround(F.regexp_count(s, F.lit(r"\p{L}")) / size, 3),
-        "DegitRatioInURL": F.bround(F.regexp_count(s, F.lit(r"\p{Nd}")) / size, 3),
-        "SpacialCharRatioInURL": F.bround(special / size, 3),
+        "LetterRatioInURL": py_round(F.regexp_count(s, F.lit(r"\p{L}")) / size, 3),
+        "DegitRatioInURL": py_round(F.regexp_count(s, F.lit(r"\p{Nd}")) / size, 3),
+        "SpacialCharRatioInURL": py_round(special / size, 3),
     })
 
 

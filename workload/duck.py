@@ -77,7 +77,7 @@ def count_of(text: str, ch: str) -> str:
 
 
 def entropy(t: str) -> str:
-    return (f"CASE WHEN length({t}) = 0 THEN 0.0 ELSE round_even(list_sum(list_transform("
+    return (f"CASE WHEN length({t}) = 0 THEN 0.0 ELSE round(list_sum(list_transform("
             f"list_distinct(string_split({t}, '')), lambda c: -((length({t}) - length(replace("
             f"{t}, c, ''))) / length({t})) * log2((length({t}) - length(replace({t}, c, ''))) "
             f"/ length({t})))), 6) END")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lurelake import params as P
 from lurelake.functions import answers as A
+from lurelake.functions.arrays import py_round
 from lurelake.operators import answers as OA, fusion as OF, joins as OJ
 from workload import duck as D
 from workload.bridge import cte, view
@@ -138,7 +139,7 @@ def scored(spark, sf):
 
 @query("url_model_score", f"WITH {URLS} SELECT page_id, round_even(p, 6) AS phishing_score FROM us")
 def url_model_score(spark, sf):
-    return OF.url_model_score(view(spark, sf, "scored")).select("page_id", F.bround("phishing_score", 6).alias("phishing_score"))
+    return OF.url_model_score(view(spark, sf, "scored")).select("page_id", py_round(F.col("phishing_score"), 6).alias("phishing_score"))
 
 
 @query("url_verdict", f"WITH {URLS} SELECT page_id, url_label, confidence, phishing_score, CASE WHEN url_label = 'Phishing' THEN 'domain_spoofing' ELSE '' END AS signals FROM us")
@@ -167,7 +168,7 @@ f1 AS (SELECT *, CASE WHEN n = 0 THEN 0.5::DOUBLE ELSE round_even((w1 / (w1 + w2
  CASE WHEN n >= 2 THEN round_even(greatest(coalesce(s1, 0), coalesce(s2, 0), coalesce(s3, 0)) - least(coalesce(s1, 9), coalesce(s2, 9), coalesce(s3, 9)), 4) ELSE 0.0 END AS gap FROM f0),
 f2 AS (SELECT *, CASE WHEN n = 0 THEN 'unknown' WHEN risk >= 0.65 THEN 'phishing' WHEN risk >= 0.4 OR gap > 0.5 THEN 'suspicious' ELSE 'legit' END AS label,
  CASE WHEN n = 0 THEN 'uncertain' WHEN risk >= 0.75 THEN 'high' WHEN risk >= 0.45 THEN 'medium' ELSE 'low' END AS risk_level,
- CASE WHEN n = 0 THEN 0.0 ELSE round_even(least((0.5::DOUBLE + 0.15::DOUBLE * n) * (1 - 0.5::DOUBLE * gap), 1.0), 4) END AS confidence FROM f1),
+ CASE WHEN n = 0 THEN 0.0 ELSE CAST(printf('%.4f', least((0.5::DOUBLE + 0.15::DOUBLE * n) * (1 - 0.5::DOUBLE * gap), 1.0)) AS DOUBLE) END AS confidence FROM f1),
 fused AS (SELECT *, CASE WHEN label = 'phishing' AND risk_level = 'high' THEN 'block' WHEN label IN ('phishing', 'suspicious') THEN 'warn' WHEN label = 'legit' THEN 'allow' ELSE 'review' END AS action,
  CASE WHEN n = 0 THEN 'No layers returned usable results.' ELSE 'Fusion (' || message_type || '): risk=' || {two('risk')} || ', layers=[' || concat_ws(', ', 'fastscan=' || {two('s1')}, 'catboost=' || {two('s2')}, 'qwen=' || {two('s3')})
  || '], disagreement=' || {two('gap')} END AS fusion_reason FROM f2)"""
