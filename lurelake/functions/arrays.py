@@ -105,9 +105,9 @@ def py_round(value: Column, digits: int) -> Column:
 
 
 def _round_binary(v: Column, digits: int) -> Column:
-    small = v < 1.9
-    unit = F.when(small, F.lit(2.0 ** 62)).otherwise(F.lit(2.0 ** 52))
-    whole = F.when(small, F.lit(2 ** 62)).otherwise(F.lit(2 ** 52)).cast("decimal(19,0)")
+    bits = F.when(v < 1.9, 62).when(v < 1900, 52).otherwise(20)
+    unit = F.pow(F.lit(2.0), bits)
+    whole = unit.cast("long").cast("decimal(19,0)")
     target = (v * unit).cast("long").cast("decimal(19,0)") * F.lit(10 ** digits).cast("decimal(7,0)")
     q = F.floor(v * float(10 ** digits)).cast("decimal(18,0)")
     twice = (target - q * whole) * F.lit(2).cast("decimal(1,0)")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_urls", "q_messages", "q_answers", "q_explain")
+MODULES = ("q_urls", "q_messages", "q_answers", "q_explain", "q_dataset")
 
 
 def all_queries():
