@@ -202,11 +202,12 @@ def words_contained(text: Column, words) -> Column:
 
 def group_host(value: Column) -> Column:
     """Host for grouping: bare IPs, credentials without scheme and trailing dots allowed."""
-    v = F.rtrim(F.trim(value), F.lit("."))
-    v = F.when(v.contains("://"), v).otherwise(F.regexp_replace(v, r"^[^@]*@", ""))
-    v = F.when(v.contains("://"), v).otherwise(F.concat(F.lit("http://"), v))
-    h = F.rtrim(host(v), F.lit("."))
-    return F.when(h != "", h)
+    def with_scheme(v):
+        bare = F.concat(F.lit("http://"), F.regexp_replace(v, r"^[^@]*@", ""))
+        return F.when(v.contains("://"), v).otherwise(bare)
+
+    url = let(F.rtrim(F.trim(value), F.lit(".")), with_scheme)
+    return F.nullif(F.rtrim(let(netloc(url), host_of_netloc), F.lit(".")), F.lit(""))
 
 
 def group_key(h: Column, reg: Column, shared_hosts=P.SHARED_HOSTS) -> Column:

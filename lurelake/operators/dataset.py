@@ -175,7 +175,7 @@ def length_edges(df: DataFrame, group_cols: list[str], text_col: str = "text",
     lengths = df.groupBy(*group_cols, F.length(text_col).alias("_len")).agg(
         F.count(F.lit(1)).alias("_n"))
     shares = F.array(*[F.lit(i / q) for i in range(q + 1)])
-    edges = F.array_distinct(F.percentile("_len", shares, "_n"))
+    edges = F.array_distinct(F.percentile("_len", shares, F.col("_n")))
     return lengths.groupBy(*group_cols).agg(edges.alias("_e")).withColumn(
         "_edges", F.slice("_e", 2, F.greatest(F.size("_e") - 2, F.lit(0)))).drop("_e")
 
@@ -306,7 +306,7 @@ def median_impute(df: DataFrame, features, split_col: str = "split") -> DataFram
         .where(F.col("v").isNotNull()).groupBy("f", "v").agg(F.count(F.lit(1)).alias("n"))
     )
     medians = {r["f"]: r["m"] for r in counted.groupBy("f").agg(
-        F.percentile("v", F.lit(0.5), "n").alias("m")).collect()}
+        F.percentile("v", F.lit(0.5), F.col("n")).alias("m")).collect()}
     return df.withColumns({f: F.coalesce(
         F.col(f).cast("double"), F.lit(float(medians.get(f, 0.0)))) for f in features})
 

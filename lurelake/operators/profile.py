@@ -42,7 +42,8 @@ def null_by_label(df: DataFrame, columns, label_col: str = "label") -> DataFrame
 
 def feed_profile(df: DataFrame, date_col: str = "date") -> DataFrame:
     first, last = F.min(date_col), F.max(date_col)
-    days = F.floor((F.unix_micros(last) - F.unix_micros(first)) / F.lit(86_400_000_000))
+    span = F.unix_micros(last.cast("timestamp")) - F.unix_micros(first.cast("timestamp"))
+    days = F.floor(span / F.lit(86_400_000_000))
     return df.agg(last.alias("newest"), first.alias("oldest"), days.alias("span_days"))
 
 

@@ -335,8 +335,6 @@ def signal_order(rules: DataFrame) -> DataFrame:
 
 def rule_score(rules: DataFrame) -> DataFrame:
     """Strongest core weight plus capped context minus trust, clamped to 0..1."""
-    signals = F.col("signals")
-
     def value(s):
         return weighted_lookup(
             s["signal"], P.SIGNAL_WEIGHTS, P.DEFAULT_SIGNAL_WEIGHT) * s["confidence"]
@@ -344,35 +342,46 @@ def rule_score(rules: DataFrame) -> DataFrame:
     def core(s):
         return in_list(s["signal"], P.CORE_SIGNALS)
 
-    out = rules.withColumn("_core", F.coalesce(F.array_max(F.transform(
-        F.filter(signals, core), value)), F.lit(0.0)))
-    out = out.withColumn("_other", F.transform(F.filter(signals, lambda s: ~core(s)), value))
-    context = F.aggregate("_other", F.lit(0.0), lambda a, v: a + F.greatest(v, F.lit(0.0)))
-    trust = F.aggregate("_other", F.lit(0.0), lambda a, v: a - F.least(v, F.lit(0.0)))
-    cap = F.when(F.col("_core") > 0, 0.20).otherwise(0.15)
-    score = F.greatest(F.col("_core"), F.lit(0.0)) + F.least(cap, context) - trust
-    return out.withColumn(
-        "score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))).drop("_core", "_other")
+    facts = let(F.col("signals"), lambda found: F.struct(
+        F.coalesce(F.array_max(F.transform(F.filter(found, core), value)), F.lit(0.0)).alias("core"),
+        F.transform(F.filter(found, lambda s: ~core(s)), value).alias("other")))
+
+    def total(f):
+        zero = F.lit(0.0)
+        context = F.aggregate(f["other"], zero, lambda a, v: a + F.greatest(v, zero))
+        trust = F.aggregate(f["other"], zero, lambda a, v: a - F.least(v, zero))
+        cap = F.when(f["core"] > 0, 0.20).otherwise(0.15)
+        return F.greatest(f["core"], zero) + F.least(cap, context) - trust
+
+    clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), let(facts, total)))
+    return rules.withColumn("score", clamped)
 
 
 def rule_verdict(scored: DataFrame) -> DataFrame:
     """Ordered hard rules, then the score threshold; expects ordered signals and a score."""
-    names = F.col("_names")
-    verdict = F.when(F.col("score") >= 0.50, F.lit("SUSPICIOUS")).otherwise(F.lit("UNKNOWN"))
-    titles = F.array_join(F.transform(F.slice("signals", 1, 3), lambda s: s["title"]), ", ")
-    reason = F.when(F.col("score") >= 0.50, F.concat(F.lit(P.SUSPICIOUS_REASON), titles)).otherwise(
-        F.lit(P.UNKNOWN_REASON))
-    for needed, text in reversed(P.VERDICT_RULES):
-        test = F.lit(True)
-        for n in needed:
-            test = test & F.array_contains(names, n)
-        verdict = F.when(test, F.lit("PHISHING")).otherwise(verdict)
-        reason = F.when(test, F.lit(text)).otherwise(reason)
-    reason = F.when(F.col("is_empty"), F.lit("Empty content payload context.")).otherwise(reason)
-    return (
-        scored.withColumn("_names", F.transform("signals", lambda s: s["signal"]))
-        .withColumns({"verdict": verdict, "reason": reason}).drop("_names")
-    )
+    facts = F.struct(F.col("signals").alias("s"), F.transform(
+        "signals", lambda s: s["signal"]).alias("names"), F.col("score").alias("score"))
+
+    def decide(f):
+        suspicious = f["score"] >= 0.50
+        titles = F.array_join(F.transform(F.slice(f["s"], 1, 3), lambda s: s["title"]), ", ")
+        verdict = F.when(suspicious, F.lit("SUSPICIOUS")).otherwise(F.lit("UNKNOWN"))
+        reason = F.when(suspicious, F.concat(F.lit(P.SUSPICIOUS_REASON), titles)).otherwise(
+            F.lit(P.UNKNOWN_REASON))
+        for needed, text in reversed(P.VERDICT_RULES):
+            test = F.lit(True)
+            for n in needed:
+                test = test & F.array_contains(f["names"], n)
+            verdict = F.when(test, F.lit("PHISHING")).otherwise(verdict)
+            reason = F.when(test, F.lit(text)).otherwise(reason)
+        return F.struct(verdict.alias("verdict"), reason.alias("reason"))
+
+    out = scored.withColumn("_v", let(facts, decide))
+    empty = F.lit("Empty content payload context.")
+    return out.withColumns({
+        "verdict": F.col("_v.verdict"),
+        "reason": F.when(F.col("is_empty"), empty).otherwise(F.col("_v.reason")),
+    }).drop("_v")
 
 
 def rule_details(rules: DataFrame) -> DataFrame:

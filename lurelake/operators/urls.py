@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lurelake import params as P
 from lurelake.functions import text as T, urls as U
-from lurelake.functions.arrays import first_by_key, occurrences, py_round, round6
+from lurelake.functions.arrays import first_by_key, let, occurrences, py_round, round6
 
 
 def url_normalize(df: DataFrame, url_col: str = "url") -> DataFrame:
@@ -31,18 +31,8 @@ def url_parts(df: DataFrame, url_col: str = "url") -> DataFrame:
     )
 
 
-def _with_registered(df: DataFrame, host: Column, suffixes) -> DataFrame:
-    """Add _h, _s and _r (host, suffix, registered domain), each computed once per row."""
-    return (
-        df.withColumn("_h", host)
-        .withColumn("_s", U.suffix_of(F.col("_h"), suffixes))
-        .withColumn("_r", U.registered_from(F.col("_h"), F.col("_s")))
-    )
-
-
 def registered_domain(df: DataFrame, col: str = "url", suffixes=P.PUBLIC_SUFFIXES) -> DataFrame:
-    out = _with_registered(df, U.address_host(F.col(col)), suffixes)
-    return out.withColumn("registered_domain", F.col("_r")).drop("_h", "_s", "_r")
+    return df.withColumn("registered_domain", U.registered_domain(F.col(col), suffixes))
 
 
 def registered_domain_simple(df: DataFrame, col: str = "url") -> DataFrame:
@@ -59,18 +49,28 @@ def registered_domain_simple(df: DataFrame, col: str = "url") -> DataFrame:
 
 def group_key(df: DataFrame, col: str = "url", shared_hosts=P.SHARED_HOSTS,
               suffixes=P.PUBLIC_SUFFIXES) -> DataFrame:
-    out = _with_registered(df, U.group_host(F.col(col)), suffixes)
-    key = U.group_key(F.col("_h"), F.col("_r"), shared_hosts)
-    return out.withColumn("group_key", key).drop("_h", "_s", "_r")
+    """Add ``group_key``.
+
+    One expression with bound values instead of staged columns: a filter on the key that
+    the optimizer pushes below the projection then copies it once, not at every use.
+    """
+    def key(h):
+        return let(U.registered_of_host(h, suffixes), lambda r: U.group_key(h, r, shared_hosts))
+
+    return df.withColumn("group_key", let(U.group_host(F.col(col)), key))
 
 
 def group_key_basic(df: DataFrame, id_col: str, col: str = "url",
                     suffixes=P.PUBLIC_SUFFIXES) -> DataFrame:
     """Registered-domain key; rows without one get a key of their own."""
     own = F.concat(F.lit("unknown_"), F.col(id_col).cast("string"))
-    out = _with_registered(df, U.basic_host(F.col(col)), suffixes)
-    key = U.group_key_basic(F.col("_h"), F.col("_s"), F.col("_r"))
-    return out.withColumn("group_key", F.coalesce(key, own)).drop("_h", "_s", "_r")
+
+    def key(h):
+        return let(U.suffix_of(h, suffixes), lambda s: let(
+            U.registered_from(h, s), lambda r: U.group_key_basic(h, s, r)))
+
+    found = let(U.basic_host(F.col(col)), key)
+    return df.withColumn("group_key", F.coalesce(found, own))
 
 
 def url_valid_content(df: DataFrame, url_col: str = "url") -> DataFrame:
