@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_urls", "q_messages", "q_answers", "q_explain", "q_dataset")
+MODULES = ("q_urls", "q_messages", "q_answers", "q_explain", "q_dataset", "q_models")
 
 
 def all_queries():

@@ -486,9 +486,9 @@ def set_union_lists(spark, sf):
 
 # ---- evaluation ----
 
-PREDS = f"""{ANS}, pr AS (SELECT msg_id, p.gold_label, CASE WHEN l.ok THEN l.label0 ELSE 'unknown' END AS pred_label, l.ok,
+PREDS = f"""{ANS}, pr AS (SELECT l.msg_id, l.gold_label, CASE WHEN l.ok THEN l.label0 ELSE 'unknown' END AS pred_label, l.ok,
  CASE WHEN gold_label = 'phishing' THEN ['threat', 'urgency'] WHEN msg_id % 3 = 0 THEN ['urgency'] ELSE [] END AS gold_signals,
- CASE WHEN l.ok THEN ['urgency'] ELSE [] END AS pred_signals FROM al l JOIN ap p USING (msg_id))"""
+ CASE WHEN l.ok THEN ['urgency'] ELSE [] END AS pred_signals FROM al l)"""
 
 
 def predictions(spark, sf):
