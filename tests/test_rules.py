@@ -24,6 +24,7 @@ ROWS = [
     (5, "email", "x@listed.top", "", "plain", None),
     (6, "email", "a@b.com", "", "Follow us on Zalo: zalo.me/page", None),
     (7, "email", "", "", "", None),
+    (9, "email", "a@vietcombamk.com.vn", "Vietcombank", "plain words", None),
     (8, "email", "a@b.com", "", "go to http://10.0.0.1/x and http://999.1.1.1/y", None),
 ]
 
@@ -52,11 +53,18 @@ def test_bare_link_raises_no_https_signal(result):
     assert result[2]["verdict"] == "UNKNOWN"
 
 
-def test_look_alike_domain_is_phishing(result):
-    assert {"entity_impersonation", "cybersquatting"} <= names(result[3])
+def test_impersonation_with_a_mismatched_link(result):
+    # main labels vietcombank-secure.com and vietcombank.com: neither contained nor close
+    assert {"entity_impersonation", "brand_link_mismatch"} <= names(result[3])
+    assert "cybersquatting" not in names(result[3])
     assert result[3]["verdict"] == "PHISHING"
 
 
+def test_look_alike_domain_is_phishing(result):
+    assert {"entity_impersonation", "cybersquatting"} <= names(result[9])
+    assert result[9]["verdict"] == "PHISHING"
+
+
 def test_header_signals_and_hidden_text(result):
     assert {"spf_fail", "dkim_fail", "dmarc_fail", "header_from_mismatch",
             "hidden_text_detected"} <= names(result[4])
@@ -79,4 +87,4 @@ def test_only_valid_octets_make_an_ip_url(result):
 def test_filter_on_the_verdict_stays_plannable(spark):
     messages = spark.createDataFrame(ROWS, SCHEMA)
     out = R.rule_layer(messages, P.RuleLists(brands=BRANDS)).where("verdict = 'PHISHING'")
-    assert {r["msg_id"] for r in out.select("msg_id").collect()} == {1, 3}
+    assert {r["msg_id"] for r in out.select("msg_id").collect()} == {1, 3, 9}
