@@ -35,4 +35,10 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark, sf_dir: str, name: str):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table.  Text tables that come as fewer files than there are cores are spread
+    over the cores; a table of many files is read as it is, without that shuffle."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("documents", "pages") and len(df.inputFiles()) < cores:
+        df = df.repartition(cores)
+    return df
