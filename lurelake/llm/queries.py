@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lurelake.llm import fingerprints, licenses, sharding
-from lurelake.llm.common import documents
+from lurelake.llm import fingerprints, licenses, packing, quality, sharding, toxicity
+from lurelake.llm.common import documents, fold
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -92,3 +92,46 @@ def op3_license_scan(spark, sf_dir):
 @query("op8_fingerprints")
 def op8_fingerprints(spark, sf_dir):
     return fingerprints.fingerprint_edits(documents(spark, sf_dir))
+
+
+# ---- 6 and 10: classifiers ----------------------------------------------------------------------
+
+def _scored(spark, sf_dir, docs, label, modulus, remainder, module, score, rows):
+    """Train on labelled rows outside the held-out fold and score the documents."""
+    usable = fold(F.col("doc_id"), modulus) != remainder
+    sample = quality.labelled_sample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"),
+                                     label, usable, rows)
+    model = module.train(sample["text"].tolist(), sample["y"].to_numpy(dtype=int))
+    scored = score(docs, model)
+    return scored.withColumn("held_out", F.coalesce(fold(F.col("doc_id"), modulus) == remainder, F.lit(False))
+                             ).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark, sf_dir):
+    scored = _scored(spark, sf_dir, documents(spark, sf_dir).select("doc_id", "text"), "toxic", 3, 1,
+                     toxicity, toxicity.score_toxicity, toxicity.SAMPLE_ROWS)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def quality_scored(spark, sf_dir, docs):
+    return _scored(spark, sf_dir, docs, "quality", 4, 2, quality, quality.score_texts, quality.SAMPLE_ROWS)
+
+
+@query("op10_quality")
+def op10_quality(spark, sf_dir):
+    scored = quality_scored(spark, sf_dir, documents(spark, sf_dir).select("doc_id", "text"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+# ---- 9 packing ----------------------------------------------------------------------------------
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op9_packing")
+def op9_packing(spark, sf_dir):
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
