@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lurelake.llm import fingerprints, licenses, packing, quality, sharding, toxicity
+from lurelake.llm import fingerprints, licenses, packing, quality, sharding, substrings, toxicity
 from lurelake.llm.common import documents, fold
 
 QUERIES: dict = {}
@@ -135,3 +135,11 @@ def tokenizer_path() -> str:
 @query("op9_packing")
 def op9_packing(spark, sf_dir):
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
+
+
+# ---- 4 substrings -------------------------------------------------------------------------------
+
+@query("op4_substring_dedup")
+def op4_substring_dedup(spark, sf_dir):
+    kept = substrings.remove_repeats(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
