@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lurelake.llm import fingerprints, licenses, packing, quality, sharding, substrings, toxicity
+from lurelake.llm import (fingerprints, jaccard, licenses, packing, quality, sharding, substrings,
+                          toxicity)
 from lurelake.llm.common import documents, fold
 
 QUERIES: dict = {}
@@ -143,3 +144,10 @@ def op9_packing(spark, sf_dir):
 def op4_substring_dedup(spark, sf_dir):
     kept = substrings.remove_repeats(documents(spark, sf_dir))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+# ---- 5 n-gram Jaccard join ----------------------------------------------------------------------
+
+@query("op5_jaccard_join")
+def op5_jaccard_join(spark, sf_dir):
+    return jaccard.jaccard_components(documents(spark, sf_dir))
