@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lurelake.llm import (fingerprints, jaccard, licenses, packing, quality, sharding, substrings,
+from lurelake.llm import (decontamination, fingerprints, jaccard, licenses, packing, quality, sharding, substrings,
                           toxicity)
 from lurelake.llm.common import documents, fold
 
@@ -151,3 +151,10 @@ def op4_substring_dedup(spark, sf_dir):
 @query("op5_jaccard_join")
 def op5_jaccard_join(spark, sf_dir):
     return jaccard.jaccard_components(documents(spark, sf_dir))
+
+
+# ---- 2 benchmark decontamination ----------------------------------------------------------------
+
+@query("op2_decontamination")
+def op2_decontamination(spark, sf_dir):
+    return decontamination.find_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
