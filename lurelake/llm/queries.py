@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lurelake.llm import (decontamination, fingerprints, jaccard, licenses, packing, quality, sharding, substrings,
+from lurelake.llm import (decontamination, fingerprints, jaccard, licenses, lines, packing, quality, sharding, substrings,
                           toxicity)
 from lurelake.llm.common import documents, fold
 
@@ -158,3 +158,11 @@ def op5_jaccard_join(spark, sf_dir):
 @query("op2_decontamination")
 def op2_decontamination(spark, sf_dir):
     return decontamination.find_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+# ---- 7 lines ------------------------------------------------------------------------------------
+
+@query("op7_line_dedup")
+def op7_line_dedup(spark, sf_dir):
+    kept = lines.drop_repeated_lines(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
