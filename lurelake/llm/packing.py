@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 from lurelake.llm.common import saved, shipped
 
 MAX_TOKENS = 2048
+#: The id that ends a document.
+END = bytes(4)
 #: Pieces of one length that one task numbers.
 RANK_ROWS = 4096
 
 
 class WordTokens(dict):
-    """Token ids of the stretches between white space, kept for those met last.
+    """Token ids (four bytes each) of the stretches between white space, kept for those met last.
 
     For tokenizers that drop white space a text's ids are those of its stretches, one after the other.
     """
@@ -37,7 +39,7 @@ class WordTokens(dict):
             self.clear()
         new = [w for w in words if w not in self]
         encoded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        self.update(zip(new, (e.ids for e in encoded)))
+        self.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in encoded)))
 
 
 _TOKENS: dict[str, WordTokens] = {}
@@ -65,9 +67,9 @@ def token_pieces(df: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKEN
                 known.learn(set(chain.from_iterable(texts)))
                 out = []
                 for k, words in zip(part["key"].tolist(), texts):
-                    ids = np.fromiter(chain(chain.from_iterable(map(known.__getitem__, words)), (0,)), "<u4")
-                    for piece, start in enumerate(range(0, len(ids), max_tokens)):
-                        own = ids[start:start + max_tokens].tobytes()
+                    ids = b"".join(map(known.__getitem__, words)) + END
+                    for piece, start in enumerate(range(0, len(ids) // 4, max_tokens)):
+                        own = ids[4 * start:4 * (start + max_tokens)]
                         out.append((k, piece, start, len(own) // 4, zlib.crc32(own), own))
                 frame = pd.DataFrame(out, columns=["key", "piece", "start", "length", "ids_crc32", "ids"])
                 yield frame if keep_ids else frame.drop(columns="ids")
