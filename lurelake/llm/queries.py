@@ -164,5 +164,10 @@ def op2_decontamination(spark, sf_dir):
 
 @query("op7_line_dedup")
 def op7_line_dedup(spark, sf_dir):
-    kept = lines.drop_repeated_lines(documents(spark, sf_dir))
-    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    docs = documents(spark, sf_dir)
+    rows = docs.select("doc_id", lines.document_number(F.col("doc_id"), F.col("text")).alias("doc"),
+                       F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    removed = F.array_sort(F.coalesce("removed", F.array().cast("array<int>")))
+    return rows.join(lines.repeated_lines(docs), "doc", "left").select(
+        "doc_id", F.greatest("n_lines", F.lit(0)).alias("n_lines"), F.size(removed).cast("long").alias("n_removed"),
+        F.array_join(removed, " ").alias("removed_lines"))
