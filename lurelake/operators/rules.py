@@ -297,22 +297,20 @@ def rule_signals(messages: DataFrame, lists: P.RuleLists | None = None,
 
 
 def _with_blacklist(rows: DataFrame, blacklist: DataFrame, id_col: str) -> DataFrame:
-    """Left join of the targets to the feed, then back to one row per message.
+    """Join of the targets to the feed, then of the hits back to their rows; bodies are not exploded.
 
     No broadcast is forced: a small feed is broadcast by its size, a large one is a shuffle
     join whose hot domains adaptive execution splits.
     """
-    feed = blacklist.select(F.lower(F.trim("domain")).alias("_t")).distinct().withColumn(
-        "_listed", F.lit(True))
-    long = rows.withColumn("_t", F.explode_outer("_targets"))
-    joined = long.join(feed, "_t", "left")
-    rest = [c for c in rows.columns if c != id_col]
-    back = joined.groupBy(id_col).agg(
-        F.first(F.struct(*rest)).alias("_row"),
-        F.array_sort(F.collect_set(F.when(F.col("_listed"), F.col("_t")))).alias("_found"),
-    ).select(id_col, "_row.*", "_found")
+    feed = blacklist.select(F.lower(F.trim("domain")).alias("_t")).distinct()
+    long = rows.select(F.col(id_col).alias("_id"), F.col("_targets").alias("_of")).distinct()
+    hits = long.withColumn("_t", F.explode("_of")).join(feed, "_t").groupBy("_id", "_of").agg(
+        F.array_sort(F.collect_set("_t")).alias("_found"))
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_targets") == F.col("_of"))
+    back = rows.join(hits, same, "left").drop("_id", "_of")
+    found = F.coalesce("_found", F.array().cast("array<string>"))
     return back.withColumn("_black", F.transform(
-        "_found", lambda d: _signal("blacklist_hit", d, domain=d))).drop("_found")
+        found, lambda d: _signal("blacklist_hit", d, domain=d))).drop("_found")
 
 
 def signal_table(rules: DataFrame, id_col: str = "msg_id") -> DataFrame:
