@@ -10,7 +10,7 @@ from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: ASCII white space, as bytes.split() has it.
 SPACE = r"[\x20\x09-\x0D]"
@@ -61,6 +61,30 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a range that one task numbers.
+RANGE_ROWS = 20_000
+
+
+def numbered(rows: DataFrame, group: str, order: list[Column | str], name: str, out: str = "place") -> DataFrame:
+    """The rows with ``out``, their places from 0 in their group by ``order``, without gaps.
+
+    The rows are dealt by ranges of (group, order), so no task holds a whole group; a place is the rank in the
+    range plus the group's rows in the ranges before it.  Equal rows are parted by where they were read, so they
+    may fill many ranges.  ``rows`` is a written table, its group column holds no null.
+    """
+    ranges = max(1, -(-rows.count() // RANGE_ROWS))
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    cut = rows.withColumn("_tie", F.monotonically_increasing_id())
+    cut = saved(cut.repartitionByRange(ranges, F.col(group).asc(), *order, F.col("_tie")).withColumn("_range", F.spark_partition_id()),
+                name)
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut.groupBy(group, "_range").count().select(
+        group, "_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy(group, "_range").orderBy(*order, "_tie")
+    return cut.join(starts, [group, "_range"]).withColumn(
+        out, F.row_number().over(within) - 1 + F.col("_start")).drop("_range", "_start", "_tie")
+
+
 def fold(key: Column, modulus: int) -> Column:
     """crc32 of the key's decimal text, modulo ``modulus``: the fixed split of labelled rows."""
     return F.crc32(key.cast("string").cast("binary")) % modulus

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lurelake.llm import (decontamination, fingerprints, jaccard, licenses, lines, packing, quality, sharding, substrings,
-                          toxicity)
+from lurelake.llm import (decontamination, fingerprints, jaccard, licenses, lines, mainblocks, merkle, packing, quality,
+                          resampling, sharding, substrings, toxicity)
 from lurelake.llm.common import documents, fold
 
 QUERIES: dict = {}
@@ -171,3 +171,138 @@ def op7_line_dedup(spark, sf_dir):
     return rows.join(lines.repeated_lines(docs), "doc", "left").select(
         "doc_id", F.greatest("n_lines", F.lit(0)).alias("n_lines"), F.size(removed).cast("long").alias("n_removed"),
         F.array_join(removed, " ").alias("removed_lines"))
+
+
+# ---- crc32 in SQL -------------------------------------------------------------------------------
+
+#: The table of crc32, one list in one row.
+CRC_TABLE = """bits AS (SELECT list(list_reduce([i] || [1,1,1,1,1,1,1,1], lambda c, b:
+    CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t
+    FROM (SELECT unnest(range(256))::BIGINT AS i))"""
+
+
+def crc_sql(value: str) -> str:
+    """crc32 of a text's UTF-8 bytes, with ``bits`` in scope."""
+    return (f"xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(range(strlen({value})), lambda i: "
+            f"('0x' || substr(hex(encode({value})), 2 * i + 1, 2))::BIGINT), "
+            "lambda c, b: xor(t[xor(c & 255, b) + 1], c // 256)))")
+
+
+# ---- 11 main text of pages ----------------------------------------------------------------------
+
+#: The main text of pages that mark an article with <article>, as those of the table do.
+MAIN_TEXT_SQL = r"""
+WITH bare AS (SELECT page_id, url, regexp_replace(regexp_replace(coalesce(html, ''), '<!--.*?-->', '', 'gs'),
+    '<(head|nav|footer|script|style|div class="ad")[ >].*?</(head|nav|footer|script|style|div)>', '', 'gs') AS h FROM pages),
+article AS (SELECT page_id, url, regexp_extract(h, '<article[^>]*>(.*)</article>', 1, 's') AS h FROM bare),
+blocks AS (SELECT page_id, url, list_transform(regexp_split_to_array(h, '</?(?:p|h1)>'), lambda b:
+    trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(replace(b, '<br>', ' '), '</?b>', '', 'g'),
+      '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS b FROM article),
+joined AS (SELECT page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM blocks)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM joined
+"""
+
+
+@query("op11_main_text", MAIN_TEXT_SQL)
+def op11_main_text(spark, sf_dir):
+    return mainblocks.extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+# ---- 12 manifest --------------------------------------------------------------------------------
+
+MERKLE_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+#: Levels that the SQL spells out; enough for 8^8 documents in a language.
+MERKLE_LEVELS = 8
+
+
+def _merkle_sql(fan: int = merkle.FAN_OUT, levels: int = MERKLE_LEVELS) -> str:
+    def enc(value):
+        return f"coalesce(strlen({value}::VARCHAR)::VARCHAR || ':' || {value}::VARCHAR, '-')"
+
+    def leaf(text):
+        return "sha256(" + " || ".join(enc(text if f == "text" else f) for f in MERKLE_FIELDS) + ")"
+
+    def tree(base, key, prefix):
+        """Levels of nodes (k, i, n, h); the node of a finished tree goes up as it is."""
+        out = [f"{prefix}0 AS (SELECT {key} AS k, row_number() OVER (PARTITION BY {key} ORDER BY o) - 1 AS i, "
+               f"count(*) OVER (PARTITION BY {key}) AS n, h, o FROM {base})"]
+        for at in range(levels):
+            joined = "string_agg(h, '' ORDER BY i)"
+            out.append(f"{prefix}{at + 1} AS (SELECT k, i // {fan} AS i, ((n + {fan - 1}) // {fan})::BIGINT AS n, "
+                       f"CASE WHEN n = 1 THEN min(h) ELSE sha256({joined}) END AS h, "
+                       f"CASE WHEN n = 1 THEN '' ELSE {joined} END AS run FROM {prefix}{at} GROUP BY k, i // {fan}, n)")
+        return out
+
+    def climb(rows, prefix, out):
+        """Rows (k, i, used, proof) joined to the runs above them, level by level."""
+        place = f"(a.i % {fan}) * 64"
+        left, right = f"substr(run, 1, {place})", f"substr(run, {place} + 65)"
+        ctes = []
+        for at in range(levels):
+            ctes.append(f"{out}{at} AS (SELECT a.* EXCLUDE (i, used, proof), a.i // {fan} AS i, "
+                        f"CASE WHEN run = '' THEN used ELSE sha256({left} || used || {right}) END AS used, "
+                        f"CASE WHEN run = '' THEN proof ELSE proof || {left} || {right} END AS proof "
+                        f"FROM {rows} a JOIN {prefix}{at + 1} u ON u.k = a.k AND u.i = a.i // {fan})")
+            rows = f"{out}{at}"
+        return ctes, rows
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    hit = f"{crc_sql('doc_id::VARCHAR')} % 3 = 0"
+    parts = [CRC_TABLE,
+             f"docs AS (SELECT doc_id, coalesce('=' || lang, '') AS lang_key, {leaf('text')} AS h, "
+             f"CASE WHEN {hit} THEN {leaf(lower)} ELSE {leaf('text')} END AS used FROM documents, bits)",
+             "leaves AS (SELECT lang_key, h, doc_id AS o FROM docs)"]
+    parts += tree("leaves", "lang_key", "l")
+    parts.append(f"subs AS (SELECT '' AS top, h, k AS o FROM l{levels})")
+    parts += tree("subs", "top", "u")
+    parts.append("start_a AS (SELECT l0.k, l0.i, d.doc_id, d.h AS leaf, d.used, '' AS proof FROM docs d "
+                 "JOIN l0 ON l0.k = d.lang_key AND l0.o = d.doc_id)")
+    ctes, last = climb("start_a", "l", "a")
+    parts += ctes
+    parts.append(f"start_b AS (SELECT '' AS k, u0.i, x.doc_id, x.leaf, u0.h AS subroot, x.used, x.proof FROM {last} x "
+                 "JOIN u0 ON u0.o = x.k)")
+    ctes, last = climb("start_b", "u", "b")
+    parts += ctes
+    return ("WITH " + ",\n".join(parts) + f"\nSELECT doc_id, leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, "
+            f"used AS folded_root, used = r.h AS verified FROM {last} x JOIN u{levels} r ON r.k = x.k")
+
+
+@query("op12_merkle_manifest", _merkle_sql())
+def op12_merkle_manifest(spark, sf_dir):
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, merkle.lower_ascii(F.col("text"))
+                      ).otherwise(F.col("text"))
+    return merkle.merkle_manifest(documents(spark, sf_dir), MERKLE_FIELDS, "lang", "doc_id", {"text": tampered})
+
+
+# ---- 13 resampling ------------------------------------------------------------------------------
+
+def _resampling_sql() -> str:
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = rf"regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    b, least = resampling.BUCKETS, resampling.LEAST_WORDS
+    return f"""
+WITH {CRC_TABLE},
+dw AS (SELECT doc_id, unnest({words}) AS w FROM documents),
+bw AS (SELECT unnest({words}) AS w FROM benchmark),
+known AS (SELECT w, {crc_sql('w')} % {b} AS bucket FROM (SELECT w FROM dw UNION SELECT w FROM bw), bits),
+counted AS (SELECT doc_id, bucket, count(*) AS n FROM dw JOIN known USING (w) GROUP BY doc_id, bucket),
+source AS (SELECT bucket, sum(n) AS s FROM counted GROUP BY bucket),
+target AS (SELECT bucket, count(*) AS t FROM bw JOIN known USING (w) GROUP BY bucket),
+totals AS (SELECT (SELECT coalesce(sum(s), 0) FROM source)::DOUBLE AS ss, (SELECT coalesce(sum(t), 0) FROM target)::DOUBLE AS tt),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (ss + {b}) / ((s + 1)::DOUBLE * (tt + {b}))))::BIGINT AS g
+  FROM source LEFT JOIN target USING (bucket), totals),
+weighed AS (SELECT doc_id, sum(n)::BIGINT AS n_features, floor(sum(n * g)::DOUBLE / sum(n))::BIGINT AS weight
+  FROM counted JOIN gain USING (bucket) GROUP BY doc_id),
+scored AS (SELECT d.doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+  coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('{resampling.SEED}:' || d.doc_id), 1, 8))::BIGINT
+    + 0.5)::DOUBLE / 4294967296.0::DOUBLE)))::BIGINT AS score FROM documents d LEFT JOIN weighed USING (doc_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= {least} ORDER BY score DESC, doc_id) AS r,
+  count(*) OVER (PARTITION BY n_features >= {least}) AS m FROM scored)
+SELECT doc_id, n_features, weight, score,
+  CASE WHEN n_features >= {least} AND r <= {resampling.PERCENT} * m // 100 THEN r END AS rank FROM ranked
+"""
+
+
+@query("op13_resampling", _resampling_sql())
+def op13_resampling(spark, sf_dir):
+    return resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
