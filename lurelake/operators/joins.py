@@ -10,26 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lurelake import params as P
 from lurelake.functions import brands as B, text as T, urls as U
-
-MAX_LITERAL_KEYS = 20_000
-
-
-def bounded_rows(df: DataFrame, limit: int) -> list | None:
-    """Rows of a table proven to hold at most ``limit`` rows, else None.
-
-    At most limit+1 rows ever reach the driver.
-    """
-    rows = df.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
-
-
-def bounded_table(df: DataFrame, limit: int = 10_000) -> DataFrame:
-    """A small table with its size proven, broadcast by size; a larger one comes back unchanged."""
-    rows = bounded_rows(df, limit)
-    if rows is None:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
+from lurelake.functions.arrays import let
 
 def semi_list(df: DataFrame, items: DataFrame, key: str, item_col: str) -> DataFrame:
     """Rows whose key is in the list table; Spark broadcasts the list only if it is small."""
@@ -47,39 +28,62 @@ def status_attach(urls: DataFrame, results: DataFrame, key: str = "url",
     return out.na.fill(defaults) if defaults else out
 
 
+#: A run of letters and digits; a short brand's runs are whole words of any text that mentions it.
+RUN = r"[\p{L}\p{N}_]+"
+#: What is neither in a run nor a space.
+SYMBOL = r"[^\p{L}\p{N}_ ]"
+
+
+def _classed(mark: str, keys: Column) -> Column:
+    return F.transform(keys, lambda k: F.concat(F.lit(mark), k))
+
+
+def _grams(compact: Column) -> Column:
+    return _classed("g", F.regexp_extract_all(compact, F.lit("(?=(.{4}))"), F.lit(1)))
+
+
+def brand_keys(brand: Column, compact: Column) -> Column:
+    """The index keys of a brand, every one of which a text that mentions it holds: the four-character grams
+    of its compact form; of shorter brands the words; of those without any, the symbols."""
+    words = F.regexp_extract_all(brand, F.lit(RUN), F.lit(0))
+    symbols = F.regexp_extract_all(brand, F.lit(SYMBOL), F.lit(0))
+    return F.array_distinct(F.when(F.length(compact) >= 4, _grams(compact)).when(
+        F.size(words) > 0, _classed("w", words)).otherwise(_classed("s", symbols)))
+
+
+def text_keys(low: Column, compact: Column) -> Column:
+    words = F.regexp_extract_all(low, F.lit(RUN), F.lit(0))
+    symbols = F.regexp_extract_all(low, F.lit(SYMBOL), F.lit(0))
+    return F.array_distinct(F.concat(_grams(compact), _classed("w", F.array_distinct(words)),
+                                     _classed("s", F.array_distinct(symbols))))
+
+
 def brand_mentions(messages: DataFrame, brands: DataFrame, text_col: str = "text",
                    id_col: str = "msg_id") -> DataFrame:
     """(id, brand) for every brand of a table mentioned in a text.
 
-    Blocking key: the first four letters or digits of the brand's compact form, else (for
-    shorter brands) its first word.  A mention always contains its key, so the equi-join
-    loses nothing.  While the key list is proven small, only keys of real brands are made.
+    One index for brand tables of any size.  A brand is filed under the one of its keys that the fewest texts
+    hold; texts meet brands by an equi-join on the key, and only narrow rows move until the candidates of a
+    text are gathered and tested beside it.  Brands with a key that no text holds are never looked up.
     """
     low = F.lower(F.trim("brand"))
     table = brands.select(low.alias("brand")).where("brand <> ''").distinct().withColumn(
         "compact", T.compact(F.col("brand")))
-    long = F.length("compact") >= 4
-    table = table.withColumn("key", F.when(long, F.left("compact", F.lit(4))).otherwise(
-        F.concat(F.lit("w:"), F.regexp_extract("brand", r"[\p{L}\p{N}_]+", 0))))
-    text = (
-        messages.select(id_col, F.lower(F.col(text_col)).alias("low"))
-        .withColumn("ctext", T.compact(F.col("low")))
-    )
-    known = bounded_rows(table.select("key").distinct(), MAX_LITERAL_KEYS)
-    if known is not None:
-        names = B.constant([r["key"] for r in known], "array<string>")
-        keys = F.filter(names, lambda k: F.when(
-            k.startswith("w:"), F.col("low").contains(F.substring(k, 3, 1000))
-        ).otherwise(F.col("ctext").contains(k)))
-    else:
-        grams = F.regexp_extract_all("ctext", F.lit("(?=(.{4}))"), F.lit(1))
-        words = F.transform(
-            F.regexp_extract_all("low", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)),
-            lambda w: F.concat(F.lit("w:"), w))
-        keys = F.array_distinct(F.concat(grams, words))
-    candidates = text.withColumn("key", F.explode_outer(keys)).join(table, "key")
-    return candidates.where(B.mentioned(
-        F.col("brand"), F.col("compact"), F.col("low"), F.col("ctext"))).select(id_col, "brand")
+    filed = table.withColumn("keys", brand_keys(F.col("brand"), F.col("compact")))
+    filed = filed.select("brand", "compact", F.size("keys").alias("n_keys"), F.explode("keys").alias("key"))
+    texts = messages.select(F.col(id_col).alias("_id"), F.lower(F.col(text_col)).alias("low"))
+    held = texts.select("_id", F.explode_outer(text_keys(F.col("low"), T.compact(F.col("low")))).alias("key"))
+    held = held.where(F.col("key").isNotNull())
+    met = held.join(filed.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("*").alias("texts"))
+    rarest = filed.join(met, "key").groupBy("brand", "compact", "n_keys").agg(
+        F.min(F.struct("texts", "key"))["key"].alias("key"), F.count("*").alias("found")).where("found = n_keys")
+    wanted = held.join(rarest, "key").groupBy("_id").agg(F.collect_set(F.struct("brand", "compact")).alias("wanted"))
+    wanted = wanted.withColumnRenamed("_id", "_wanted_id")
+    beside = texts.join(wanted, F.col("_id").eqNullSafe(F.col("_wanted_id")))
+    forms = F.struct(F.col("low").alias("low"), T.compact(F.col("low")).alias("compact"))
+    named = let(forms, lambda t: F.filter(
+        F.col("wanted"), lambda b: B.mentioned(b["brand"], b["compact"], t["low"], t["compact"])))
+    return beside.select(F.col("_id").alias(id_col), F.explode(named).alias("b")).select(id_col, "b.brand")
 
 
 def official_domains(brands: DataFrame, suffixes=P.PUBLIC_SUFFIXES) -> DataFrame:
@@ -98,60 +102,53 @@ def squatting_match(domains: DataFrame, official: DataFrame, domain_col: str = "
                     official_col: str = "official_domain") -> DataFrame:
     """(domain, official) pairs where the domain imitates the official one.
 
-    Edit distance two leaves at least one of three segments of the official label intact
-    and moves it by at most two places, so (label length, segment number, segment) is an
-    exact blocking key.  Containment is found through the substrings of the few domains that
-    carry a suspicious affix.  Hot keys hold official labels only on one side and each
-    domain once on the other.
+    Main labels are compared once each, however many domains share them; see ``squatting_candidates``.
     """
-    d = domains.select(F.col(domain_col).alias("domain")).distinct().withColumn(
-        "d", U.squat_main(F.col("domain")))
+    d = domains.select(F.col(domain_col).alias("domain")).distinct().withColumn("d", U.squat_main(F.col("domain")))
     o = official.select(F.col(official_col).alias("official")).distinct().withColumn(
         "o", U.squat_main(F.col("official"))).where("o <> ''")
-    return (
-        _edit_candidates(d, o).unionByName(_containment_candidates(d, o)).distinct()
-        .where(F.col("d") != F.col("o"))
-        .where(U.squat_by_affix(F.col("d"), F.col("o")) | U.squat_by_distance(F.col("d"), F.col("o")))
-        .select("domain", "official")
-    )
-
-
-def _segment(label: Column, length: Column, s: int, shift: int = 0) -> Column:
-    """Segment s (0..2) of a label of the given length, read with an offset."""
-    start = (length * s / 3).cast("int")
-    end = (length * (s + 1) / 3).cast("int")
-    at = start + 1 + shift
-    return F.when((at >= 1) & (at + (end - start) - 1 <= F.length(label)),
-                  label.substr(at, end - start))
-
-
-def _key(length: Column, s: int, part: Column) -> Column:
-    return F.concat_ws(":", length.cast("string"), F.lit(str(s)), part)
-
-
-def _edit_candidates(d: DataFrame, o: DataFrame) -> DataFrame:
-    n = F.length("o")
-    own = F.array(*[_key(n, s, _segment(F.col("o"), n, s)) for s in range(3)])
-    probes = []
-    for delta in range(-2, 3):
-        length = F.length("d") + delta
-        for s in range(3):
-            for shift in range(-2, 3):
-                part = _segment(F.col("d"), length, s, shift)
-                probes.append(F.when((length > 3) & part.isNotNull(), _key(length, s, part)))
-    left = d.where(F.length("d") > 3).withColumn(
-        "key", F.explode(F.array_distinct(F.array_compact(F.array(*probes)))))
-    right = o.where(F.length("o") > 3).withColumn("key", F.explode(own))
-    return left.join(right, "key").select("domain", "d", "official", "o")
-
-
-def _containment_candidates(d: DataFrame, o: DataFrame) -> DataFrame:
-    n = F.length("d")
-    parts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(
-        F.sequence(F.lit(1), n - i + 1), lambda k: F.col("d").substr(i, k))))
-    left = d.where((n > 0) & U.has_squat_affix(F.col("d"))).withColumn(
-        "key", F.explode(F.array_distinct(parts)))
-    return left.join(o.withColumn("key", F.col("o")), "key").select("domain", "d", "official", "o")
+    pairs = squatting_candidates(d.select("d").distinct(), o.select("o").distinct()).where(
+        U.squat_by_affix(F.col("d"), F.col("o")) | U.squat_by_distance(F.col("d"), F.col("o")))
+    return d.join(pairs, "d").join(o, "o").select("domain", "official")
+
+
+def squatting_candidates(d: DataFrame, o: DataFrame) -> DataFrame:
+    """(d, o): different labels that share a deletion variant, or of which the first has a suspicious affix
+    and holds the second.
+
+    Labels at an edit distance of two or less become equal when up to two characters are removed from each, so
+    an equi-join of the variants' hashes finds them all, and a common prefix brings no pair together.
+    """
+    near = _by_deletion(d, "d").join(_by_deletion(o, "o"), "variant").where(
+        (F.abs(F.length("d") - F.length("o")) <= 2) & (F.col("d") != F.col("o"))).select("d", "o")
+    inside = d.where((F.length("d") > 0) & U.has_squat_affix(F.col("d"))).select(
+        "d", F.explode(_substrings(F.col("d"))).alias("o")).where("d <> o").join(o, "o", "left_semi").select("d", "o")
+    return near.unionByName(inside).distinct()
+
+
+def _by_deletion(labels: DataFrame, name: str) -> DataFrame:
+    """(label, variant) with the 64-bit hash of each variant of labels of four characters or more."""
+    return labels.where(F.length(name) > 3).select(name, F.explode(F.array_distinct(F.transform(
+        _deletions(F.col(name)), lambda v: F.xxhash64(v)))).alias("variant"))
+
+
+def _deletions(label: Column) -> Column:
+    """A label of two characters or more, and what is left of it without any one or two of them."""
+    n = F.length(label)
+
+    def without(i, j):
+        return F.concat(label.substr(F.lit(1), i - 1), label.substr(i + 1, j - i - 1), label.substr(j + 1, n))
+
+    one = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(label.substr(F.lit(1), i - 1), label.substr(i + 1, n)))
+    two = F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.transform(
+        F.sequence(i + 1, n), lambda j: without(i, j))))
+    return F.concat(F.array(label), one, two)
+
+
+def _substrings(label: Column) -> Column:
+    n = F.length(label)
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(
+        F.sequence(F.lit(1), n - i + 1), lambda k: label.substr(i, k)))))
 
 
 def join_layers(rules: DataFrame, urls: DataFrame, answers: DataFrame,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lurelake import params as P
 from lurelake.functions import urls as U
-from lurelake.operators import pages as OP, urls as OU
+from lurelake.operators import pages as OP, suffixes as SU, urls as OU
 from workload import duck as D
 from workload.bridge import cte, view
 from workload.registry import query, table
@@ -91,6 +91,38 @@ def group_key_basic(spark, sf):
     return OU.group_key_basic(view(spark, sf, "hosts"), "page_id").select("page_id", "group_key")
 
 
+#: Rules as lines of a table: the parameter list, a wildcard and an exception.
+SUFFIX_LINES = (*P.PUBLIC_SUFFIXES, "*.example.org", "!www.example.org", "// comment", "")
+SUFFIX_TABLE = f"""lines AS (SELECT unnest({D.lst(SUFFIX_LINES)}) AS line),
+rules AS (SELECT regexp_replace(line, '^(!|[*][.])', '') AS tail, CASE WHEN starts_with(line, '!') THEN -1 WHEN starts_with(line, '*.') THEN 1 ELSE 0 END AS kind
+ FROM lines WHERE line <> '' AND NOT starts_with(line, '//')),
+hosted AS (SELECT page_id, {{host}} AS h FROM hosts),
+tails AS (SELECT DISTINCT h, unnest(range(1, len(string_split(h, '.')) + 1)) AS pos FROM hosted WHERE h <> ''),
+met AS (SELECT h, pos - kind AS start, kind FROM tails JOIN rules ON array_to_string(list_slice(string_split(h, '.'), pos, len(string_split(h, '.'))), '.') = tail WHERE pos - kind >= 1),
+chosen AS (SELECT h, coalesce(min(start) FILTER (kind = -1), min(start) FILTER (kind >= 0)) AS start FROM met GROUP BY h),
+known AS (SELECT DISTINCT h, CASE WHEN regexp_matches(h, '^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$') THEN NULL ELSE coalesce(start, len(string_split(h, '.'))) END AS start
+ FROM hosted LEFT JOIN chosen USING (h)),
+reg AS (SELECT h, CASE WHEN start >= 2 THEN array_to_string(list_slice(string_split(h, '.'), start - 1, len(string_split(h, '.'))), '.') ELSE '' END AS r FROM known)"""
+
+
+def suffix_lines(spark):
+    return spark.createDataFrame([(line,) for line in SUFFIX_LINES], "suffix string")
+
+
+@query("registered_domain_table", f"""WITH {HOSTS}, {SUFFIX_TABLE.format(host=D.address_host('url'))}
+SELECT page_id, coalesce(r, '') AS registered_domain FROM hosted LEFT JOIN reg USING (h)""")
+def registered_domain_table(spark, sf):
+    return SU.registered_domain(view(spark, sf, "hosts"), suffix_lines(spark)).select("page_id", "registered_domain")
+
+
+@query("group_key_table", f"""WITH {HOSTS}, {GROUP[:GROUP.index("g3 AS")].rstrip().rstrip(",")},
+{SUFFIX_TABLE.format(host="h").replace("FROM hosts)", "FROM g2)")}
+SELECT page_id, CASE WHEN h = '' THEN NULL WHEN coalesce(r, '') = '' THEN h WHEN r IN ({D.quoted(P.SHARED_HOSTS)}) AND r <> h THEN h ELSE r END AS group_key
+FROM hosted LEFT JOIN reg USING (h)""")
+def group_key_table(spark, sf):
+    return SU.group_key(view(spark, sf, "hosts"), suffix_lines(spark)).select("page_id", "group_key")
+
+
 @query("url_valid_content", f"""WITH {HOSTS}, p AS (SELECT page_id, trim(url) AS url,
  {D.path('trim(url)')} AS path FROM hosts)
 SELECT page_id, url FROM p WHERE regexp_matches(url, '^https?:', 'i') AND {D.netloc('url')} <> ''
@@ -274,7 +306,7 @@ def drop_columns(spark, sf):
     return OU.drop_columns(table(spark, sf, "pages"), ["html", "Title", "TLD"])
 
 
-@query("discover_url_column")
+@query("discover_url_column", f"WITH {HOSTS} SELECT page_id, 'url' AS url_column, url AS value FROM hosts")
 def discover_url_column(spark, sf):
     df = view(spark, sf, "hosts")
     found = OU.discover_url_column(df)
