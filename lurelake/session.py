@@ -1,9 +1,29 @@
-"""Session settings for local runs; a cluster brings its own session."""
+"""Session settings for local runs (a cluster brings its own session), and the package for Python workers."""
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once for an application."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = Path(__file__).resolve().parents[1]
+        target = Path(tempfile.mkdtemp(prefix="lurelake-")) / "lurelake.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for f in sorted((root / "lurelake").rglob("*.py")):
+                z.write(f, f.relative_to(root))
+        spark.sparkContext.addPyFile(str(target))
+        _SHIPPED.add(app)
+    return spark
+
 
 def local_session(cpus: str = "*", app: str = "lurelake") -> SparkSession:
     spark = (
