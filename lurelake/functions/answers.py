@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
 
 from lurelake import params as P
 from lurelake.functions import text as T
@@ -17,31 +15,6 @@ ANSWER_SCHEMA = (
 )
 
 
-@F.pandas_udf(StringType())
-def _first_object(texts: pd.Series) -> pd.Series:
-    """First balanced {...} of each text, strings and escapes respected."""
-    def scan(text):
-        start = -1 if text is None else text.find("{")
-        if start < 0:
-            return None
-        depth, quoted, skip = 0, False, False
-        for at in range(start, len(text)):
-            ch = text[at]
-            if skip:
-                skip = False
-            elif quoted:
-                skip, quoted = ch == "\\", ch != '"'
-            elif ch == '"':
-                quoted = True
-            elif ch in "{}":
-                depth += 1 if ch == "{" else -1
-                if depth == 0:
-                    return text[start:at + 1]
-        return None
-
-    return texts.map(scan)
-
-
 def unwrapped(raw: Column) -> Column:
     """Answer text without think or tool blocks and code fences."""
     t = F.regexp_replace(F.coalesce(raw, F.lit("")), "(?is)<think>.*?</think>", "")
@@ -51,7 +24,24 @@ def unwrapped(raw: Column) -> Column:
 
 
 def first_object(text: Column) -> Column:
-    return _first_object(text)
+    """The text from its first brace to the one that closes it, else NULL; braces in JSON strings do not count.
+
+    Escaped characters are blanked, strings are single tokens, and the depth runs over the tokens.
+    """
+    opened = text.substr(F.position(F.lit("{"), text), F.length(text))
+    tokens = F.regexp_extract_all(F.regexp_replace(opened, r"(?s)\\.", "__"), F.lit(r'"[^"]*+"?|[{}]|[^"{}]++'), F.lit(0))
+    nothing = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+
+    def step(state, token):
+        depth = state["depth"] + F.when(token == "{", 1).when(token == "}", -1).otherwise(0)
+        at = state["at"] + F.length(token)
+        closed = (state["end"] == 0) & (depth == 0)
+        return F.struct(depth.alias("depth"), at.alias("at"), F.when(closed, at).otherwise(state["end"]).alias("end"))
+
+    end = F.aggregate(tokens, nothing, step, lambda state: state["end"])
+    found = let(F.struct(opened.alias("text"), end.alias("end")),
+                lambda o: F.when(o["end"] > 0, F.left(o["text"], o["end"])))
+    return F.when(F.position(F.lit("{"), text) > 0, found)
 
 
 def label_of(value: Column) -> Column:

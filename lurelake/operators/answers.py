@@ -5,11 +5,11 @@ Answers arrive as a table (a raw text per message).  Every step stays inside the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lurelake import params as P
 from lurelake.functions import answers as A
-from lurelake.functions.arrays import exploded, first_by_key, in_list, let
+from lurelake.functions.arrays import exploded, first_by_key, let
 from lurelake.operators.messages import build_prompt, mask_links, prepared_fields
 
 FIELDS = ("subject", "sender", "body", "attachment")
@@ -18,8 +18,7 @@ FIELDS = ("subject", "sender", "body", "attachment")
 def parse_json(df: DataFrame, raw_col: str = "raw_answer") -> DataFrame:
     """Add ``parsed`` (struct or NULL) and ``json_parsed``.
 
-    Only texts that do not parse as they are visit the Arrow function that looks for the
-    first balanced object.
+    Only texts that do not parse as they are searched for their first balanced object.
     """
     out = df.withColumn("_text", A.unwrapped(F.col(raw_col)))
     out = out.withColumn("_ok", F.try_parse_json("_text").isNotNull())
@@ -167,5 +166,57 @@ def span_occurrences(docs: DataFrame, spans: DataFrame, id_col: str, text_col: s
         id_col, span_col, F.col("item.s").alias("start"), F.col("item.e").alias("end"))
 
 
-def known_signal(name, taxonomy=P.ANSWER_SIGNALS):
-    return in_list(name, taxonomy)
+def _clusters(hits: DataFrame, id_col: str) -> DataFrame:
+    """The hits with ``cluster``: a sweep over a document's starts opens a new one where no earlier hit reaches."""
+    order = W.partitionBy(id_col).orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
+    opened = hits.withColumn("_open", F.coalesce((F.col("start") >= reach), F.lit(True)).cast("int"))
+    return opened.withColumn("cluster", F.sum("_open").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_open")
+
+
+def resolve_spans(hits: DataFrame, id_col: str, span_col: str = "span", nested: bool = False) -> DataFrame:
+    """(id, span, start, end): the hits that are marked when the longest come first.
+
+    Hits are taken by falling length of their span, then start, then span.  One that meets a taken one goes; with
+    ``nested`` it stays if it lies inside every taken one that it meets.  Only hits that overlap, directly or
+    through others, are compared, in one array each.  Equal hits count once, empty ones never.
+    """
+    own = hits.where(F.col("end") > F.col("start")).select(id_col, F.col(span_col).alias("span"), "start", "end").distinct()
+    ranked = F.struct((-F.length("span")).alias("n"), F.col("start").alias("s"), "span", F.col("end").alias("e"))
+    groups = _clusters(own, id_col).groupBy(id_col, "cluster").agg(F.sort_array(F.collect_list(ranked)).alias("hits"))
+
+    def take(kept, h):
+        def clash(k):
+            met = (k["s"] < h["e"]) & (h["s"] < k["e"])
+            return met & ~((k["s"] <= h["s"]) & (h["e"] <= k["e"])) if nested else met
+
+        return F.when(F.exists(kept, clash), kept).otherwise(F.concat(kept, F.array(h)))
+
+    # the first always stays; the rest are folded onto it
+    kept = F.aggregate(F.slice("hits", 2, F.size("hits")), F.slice("hits", 1, 1), take)
+    out = exploded(groups.withColumn("_kept", kept), (id_col, "cluster"), "_kept")
+    return out.select(id_col, F.col("item.span").alias(span_col), F.col("item.s").alias("start"), F.col("item.e").alias("end"))
+
+
+def _bare_link(value) -> Column:
+    low = F.lower(F.trim(value))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(low, "^https?://", ""), r"^www\.", ""), "/$", "")
+
+
+def link_targets(docs: DataFrame, spans: DataFrame, id_col: str, links_col: str = "links",
+                 span_col: str = "span") -> DataFrame:
+    """(id, link, span): for each link of a document the longest of its link-like spans (with a dot, a slash or
+    a leading http) that holds the link or is held by it, compared without scheme, ``www.`` and last slash.
+
+    ``docs`` has an array of links a row.  Empty links and spans match nothing; of equally long spans the least
+    is taken.
+    """
+    value = F.col(span_col)
+    like = spans.where(value.startswith("http") | value.contains(".") | value.contains("/")).select(
+        id_col, F.trim(value).alias("_span"), _bare_link(value).alias("_bare")).where("_bare <> ''")
+    offered = like.groupBy(id_col).agg(F.sort_array(F.collect_set(F.struct(
+        (-F.length("_span")).alias("n"), "_span", "_bare"))).alias("_offered"))
+    links = docs.select(id_col, F.explode_outer(F.array_distinct(links_col)).alias("link")).withColumn("_own", _bare_link(F.col("link")))
+    met = links.where("_own <> ''").join(offered, id_col)
+    first = F.get(F.filter("_offered", lambda o: F.col("_own").contains(o["_bare"]) | o["_bare"].contains(F.col("_own"))), F.lit(0))
+    return met.select(id_col, "link", first["_span"].alias(span_col)).where(F.col(span_col).isNotNull())

@@ -2,22 +2,24 @@
 
 Samples are taken by a stable hash of the row id, so they do not depend on partitioning.
 Exact quotas never sort a whole stratum in one task: a histogram over hash prefixes finds
-the one prefix where the quota ends, only that sliver is ranked, and the main pass keeps
-rows below the resulting threshold without any shuffle.
+the one prefix where the quota ends, only that sliver is ranked, and rows below the resulting
+threshold are kept.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window as W, functions as F
 
 from lurelake import params as P
 from lurelake.functions import answers as A, text as T
 from lurelake.functions.arrays import first_by_key, in_list, py_round, round6
-from lurelake.operators.joins import bounded_table
 from lurelake.operators.messages import build_text
 
 EVIDENCE = ("array<struct<signal:string,exact_span:string,severity:string,verified:boolean>>")
-PREFIX = 3
+#: Rows of a stratum that one window ranks, about.
+EDGE_ROWS = 65_536
+#: The stratum of tables that have one only.
+ONE = "_one"
 
 
 def label_normalize(value: Column) -> Column:
@@ -66,8 +68,13 @@ def evidence_simplify(evidence: Column, max_items: int = 6, taxonomy=P.TRAIN_SIG
     return F.transform(F.array(clean), strongest).getItem(0)
 
 
-def message_preprocess(df: DataFrame, source: str | None = None) -> DataFrame:
-    """(…, text, label, signals, evidence, source) with unusable rows dropped."""
+def message_preprocess(df: DataFrame, source: str | None = None, observed: Observation | None = None) -> DataFrame:
+    """(…, text, label, signals, evidence, source) with unusable rows dropped.
+
+    ``observed`` counts, in the pass that the caller's action makes anyway: rows, removed_short (fewer than
+    five characters), removed_no_evidence (phishing without evidence, of the rest), kept, kept_phishing and
+    kept_legit.
+    """
     out = build_text(df).withColumn("label", label_normalize(F.col("label")))
     out = out.withColumn("evidence", evidence_simplify(parse_list_column(F.col("evidence"))))
     out = out.withColumn("evidence", F.when(F.col("label") == 1, F.col("evidence")).otherwise(
@@ -77,8 +84,17 @@ def message_preprocess(df: DataFrame, source: str | None = None) -> DataFrame:
     signals = F.array_sort(F.array_distinct(F.transform("evidence", lambda e: e["signal"])))
     out = out.withColumn("text", F.trim("built_text")).drop("built_text").withColumn(
         "signals", signals)
-    return out.where(F.length("text") >= 5).where(
-        (F.col("label") == 0) | (F.size("evidence") > 0))
+    long_enough = F.coalesce(F.length("text") >= 5, F.lit(False))
+    grounded = F.coalesce((F.col("label") == 0) | (F.size("evidence") > 0), F.lit(False))
+    if observed is None:
+        return out.where(long_enough & grounded)
+    marked = out.withColumns({"_long": long_enough, "_grounded": grounded})
+    kept = F.col("_long") & F.col("_grounded")
+    return marked.observe(
+        observed, F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("_long")).alias("removed_short"),
+        F.count_if(F.col("_long") & ~F.col("_grounded")).alias("removed_no_evidence"), F.count_if(kept).alias("kept"),
+        F.count_if(kept & (F.col("label") == 1)).alias("kept_phishing"),
+        F.count_if(kept & (F.col("label") == 0)).alias("kept_legit")).where(kept).drop("_long", "_grounded")
 
 
 def dedupe_rows(df: DataFrame) -> DataFrame:
@@ -104,45 +120,73 @@ def _hashed(df: DataFrame, id_col: str, seed: int) -> DataFrame:
     return df.withColumn("_h", T.stable_hash(F.col(id_col), seed))
 
 
-def take_quota(df: DataFrame, quotas: DataFrame, strata: list[str], id_col: str,
-               seed: int = 42) -> DataFrame:
-    """Keep, per stratum, the ``quota`` rows with the smallest hashes (exact).
+def _same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on the keys in which nulls are equal; the left's keys stay."""
+    renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(renamed, same, how).drop(*[f"_r_{k}" for k in keys])
 
-    ``quotas`` has the strata columns and ``quota``.
+
+def quota_rule(keyed: DataFrame, quotas: DataFrame, strata: list[str], id_col: str) -> DataFrame:
+    """(strata, _all, _th, _tid): the hash and id of the last of the ``quota`` rows of each stratum with the
+    smallest hashes ``_h``, or ``_all`` where the stratum has no more rows.
+
+    A radix selection in one lazy plan.  Rows are counted per (stratum, hash prefix); the cumulative counts
+    give the prefix in which the quota is filled, and only that prefix's rows are ranked.  The prefix is as long
+    as the stratum's count asks for, so a window ranks some EDGE_ROWS rows whatever the stratum's size.
     """
-    keyed = _hashed(df, id_col, seed).withColumn("_b", F.left("_h", F.lit(PREFIX)))
-    w = W.partitionBy(*strata).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    histogram = (
-        keyed.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    )
-    edge = histogram.join(bounded_table(quotas), strata).where(
-        (F.col("_before") < F.col("quota")) & (F.col("quota") <= F.col("_before") + F.col("_n"))
-    ).select(*strata, "_b", (F.col("quota") - F.col("_before")).alias("_need"))
-    edge = bounded_table(edge, 100_000)
-    ranked = keyed.join(edge, [*strata, "_b"]).withColumn("_rn", F.row_number().over(
-        W.partitionBy(*strata, "_b").orderBy("_h", id_col)))
-    last = ranked.where(F.col("_rn") == F.col("_need")).select(
-        *strata, F.col("_h").alias("_th"), F.col(id_col).alias("_tid"))
-    counts = histogram.groupBy(*strata).agg(F.sum("_n").alias("_total")).join(
-        bounded_table(quotas), strata)
-    rule = counts.join(bounded_table(last, 100_000), strata, "left").withColumn(
-        "_all", F.col("quota") >= F.col("_total"))
-    rule = bounded_table(rule.select(*strata, "_all", "_th", "_tid"), 100_000)
+    narrow = keyed.select(*strata, F.col(id_col).alias("_id"), "_h")
+    totals = _same(narrow.groupBy(*strata).agg(F.count(F.lit(1)).alias("_total")), quotas.select(*strata, "quota"), strata)
+    digits = F.greatest(F.ceil(F.log(16.0, F.col("_total") / EDGE_ROWS)), F.lit(0)).cast("int")
+    cut = _same(narrow, totals.select(*strata, digits.alias("_digits")), strata).withColumn(
+        "_b", F.left("_h", F.col("_digits")))
+    before = W.partitionBy(*strata).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    histogram = cut.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    edge = _same(histogram, totals, strata).where("_before < quota AND quota <= _before + _n AND quota < _total").select(
+        *strata, "_b", (F.col("quota") - F.col("_before")).alias("_need"))
+    rank = F.row_number().over(W.partitionBy(*strata, "_b").orderBy("_h", "_id"))
+    last = _same(cut.select(*strata, "_b", "_h", "_id"), edge, [*strata, "_b"]).withColumn("_rn", rank).where("_rn = _need")
+    last = last.select(*strata, F.col("_h").alias("_th"), F.col("_id").alias("_tid"))
+    return _same(totals.select(*strata, (F.col("quota") >= F.col("_total")).alias("_all")), last, strata, "left")
+
+
+def flag_quota(df: DataFrame, quotas: DataFrame, strata: list[str], id_col: str, seed: int = 42,
+               out: str = "taken") -> DataFrame:
+    """All rows, ``out`` true for the ``quota`` rows per stratum with the smallest hashes (exact).
+
+    ``quotas`` has the strata columns and ``quota``; strata without one take nothing.  Nothing runs before the
+    caller's action.
+    """
+    keyed = _hashed(df, id_col, seed)
+    rule = quota_rule(keyed, quotas, strata, id_col)
+    if strata == [ONE]:
+        rule = F.broadcast(rule)  # one row
     h, th = F.col("_h"), F.col("_th")
     below = (h < th) | ((h == th) & (F.col(id_col) <= F.col("_tid")))
-    kept = keyed.join(rule, strata).where(F.col("_all") | F.coalesce(below, F.lit(False)))
-    return kept.select(*df.columns)
+    return _same(keyed, rule, strata, "left").withColumn(
+        out, F.coalesce(F.col("_all") | F.coalesce(below, F.lit(False)), F.lit(False))).select(*df.columns, out)
+
+
+def take_quota(df: DataFrame, quotas: DataFrame, strata: list[str], id_col: str,
+               seed: int = 42) -> DataFrame:
+    """Keep, per stratum, the ``quota`` rows with the smallest hashes (exact); see ``flag_quota``."""
+    return flag_quota(df, quotas, strata, id_col, seed, "_taken").where("_taken").select(*df.columns)
+
+
+def share_quotas(df: DataFrame, share: float, strata: list[str]) -> DataFrame:
+    """(strata, quota): the rounded share of each stratum's rows."""
+    return df.groupBy(*strata).agg(py_round(F.count(F.lit(1)) * share, 0).cast("long").alias("quota"))
 
 
 def take_share(df: DataFrame, share: float, id_col: str, seed: int = 42,
                strata: list[str] | None = None) -> DataFrame:
     """Exact rounded share of the rows, per stratum when strata are given."""
-    base = df if strata else df.withColumn("_one", F.lit(1))
-    keys = strata or ["_one"]
-    quotas = base.groupBy(*keys).agg(
-        F.round(py_round(F.count(F.lit(1)) * share, 0)).cast("long").alias("quota"))
-    return take_quota(base, quotas, keys, id_col, seed).select(*df.columns)
+    base = df if strata else df.withColumn(ONE, F.lit(1))
+    keys = strata or [ONE]
+    return take_quota(base, share_quotas(base, share, keys), keys, id_col, seed).select(*df.columns)
 
 
 def cap_per_domain(df: DataFrame, domain_col: str, order: str, cap: int = 50) -> DataFrame:
@@ -183,11 +227,13 @@ def length_edges(df: DataFrame, group_cols: list[str], text_col: str = "text",
 def length_buckets(df: DataFrame, group_cols: list[str] | None = None, text_col: str = "text",
                    q: int = 5) -> DataFrame:
     """Add ``text_len`` and ``len_bucket`` (quantile bucket within the group)."""
-    base = df if group_cols else df.withColumn("_one", F.lit(1))
-    keys = group_cols or ["_one"]
-    edges = bounded_table(length_edges(base, keys, text_col, q))
+    base = df if group_cols else df.withColumn(ONE, F.lit(1))
+    keys = group_cols or [ONE]
+    edges = length_edges(base, keys, text_col, q)
+    if not group_cols:
+        edges = F.broadcast(edges)  # one row
     n = F.length(text_col)
-    out = base.join(edges, keys, "left").withColumn("text_len", n).withColumn(
+    out = _same(base, edges, keys, "left").withColumn("text_len", n).withColumn(
         "len_bucket", F.coalesce(F.size(F.filter("_edges", lambda e: n > e)), F.lit(0)))
     return out.select(*df.columns, "text_len", "len_bucket")
 
@@ -201,7 +247,7 @@ def stratified_downsample(df: DataFrame, targets: DataFrame, group_cols: list[st
     bucketed = length_buckets(df, group_cols, text_col)
     counts = bucketed.groupBy(*group_cols, "len_bucket").agg(F.count(F.lit(1)).alias("_c"))
     per_group = W.partitionBy(*group_cols)
-    counts = bounded_table(counts).join(bounded_table(targets), group_cols).withColumns({
+    counts = _same(counts, targets, group_cols).withColumns({
         "_total": F.sum("_c").over(per_group),
         "_last": F.max("len_bucket").over(per_group) == F.col("len_bucket"),
     })
@@ -234,9 +280,9 @@ def language_mix(kept: DataFrame, sampled: DataFrame, ratio: float, id_col: str,
                  seed: int = 42) -> DataFrame:
     """All rows of ``kept`` and ratio * |kept| rows of ``sampled`` (at most all of them)."""
     quotas = kept.agg(py_round(F.count(F.lit(1)) * ratio, 0).cast("long").alias("quota")).select(
-        F.lit(1).alias("_one"), "quota")
-    part = take_quota(sampled.withColumn("_one", F.lit(1)), quotas, ["_one"], id_col, seed)
-    return kept.unionByName(part.drop("_one"))
+        F.lit(1).alias(ONE), "quota")
+    part = take_quota(sampled.withColumn(ONE, F.lit(1)), quotas, [ONE], id_col, seed)
+    return kept.unionByName(part.drop(ONE))
 
 
 def replay_mix(target: DataFrame, other: DataFrame, id_col: str, share: float = 0.2,
@@ -258,10 +304,8 @@ def split_strata(df: DataFrame, evidence_count: str = "n_evidence") -> DataFrame
 def stratified_split(df: DataFrame, id_col: str, eval_share: float = 0.15,
                      strata_col: str = "split_strata", seed: int = 42) -> DataFrame:
     """Add ``split`` train/eval with the share taken exactly in every stratum."""
-    held = take_share(df.select(id_col, strata_col), eval_share, id_col, seed, [strata_col])
-    flagged = held.select(id_col, F.lit("eval").alias("_s"))
-    return df.join(flagged, id_col, "left").withColumn(
-        "split", F.coalesce("_s", F.lit("train"))).drop("_s")
+    flagged = flag_quota(df, share_quotas(df, eval_share, [strata_col]), [strata_col], id_col, seed, "_eval")
+    return flagged.withColumn("split", F.when(F.col("_eval"), F.lit("eval")).otherwise(F.lit("train"))).drop("_eval")
 
 
 def group_split(df: DataFrame, group_col: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
@@ -270,23 +314,13 @@ def group_split(df: DataFrame, group_col: str, test_share: float = 0.2, seed: in
     The test groups form a hash range, so rows are assigned by comparing their group's hash
     with one threshold: no join on the group and no cost for a hot group.
     """
-    groups = df.select(F.col(group_col).alias("g")).distinct()
-    keyed = groups.select(T.stable_hash(F.col("g"), seed).alias("h"))
-    prefix = F.left("h", F.lit(PREFIX))
-    histogram = bounded_table(keyed.groupBy(prefix.alias("b")).agg(F.count(F.lit(1)).alias("n")))
-    before = F.coalesce(F.sum("n").over(
-        W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("n").over(W.partitionBy())
-    edge = histogram.withColumns({"before": before, "quota": F.ceil(total * test_share)}).where(
-        (F.col("before") < F.col("quota")) & (F.col("quota") <= F.col("before") + F.col("n"))
-    ).first()
-    if edge is None:
-        return df.withColumn("split", F.lit("train"))
-    need = edge["quota"] - edge["before"]
-    sliver = keyed.where(prefix == edge["b"]).orderBy("h").limit(int(need))
-    threshold = sliver.agg(F.max("h").alias("h")).first()["h"]
-    test = T.stable_hash(F.col(group_col), seed) <= F.lit(threshold)
-    return df.withColumn("split", F.when(test, F.lit("test")).otherwise(F.lit("train")))
+    groups = df.select(F.lit(1).alias(ONE), F.col(group_col).alias("g")).distinct().withColumn(
+        "_h", T.stable_hash(F.col("g"), seed))
+    quotas = groups.groupBy(ONE).agg(F.ceil(F.count(F.lit(1)) * test_share).alias("quota"))
+    rule = F.broadcast(quota_rule(groups, quotas, [ONE], "g").drop("_tid"))  # one row
+    test = F.col("_all") | F.coalesce(T.stable_hash(F.col(group_col), seed) <= F.col("_th"), F.lit(False))
+    ruled = _same(df.withColumn(ONE, F.lit(1)), rule, [ONE], "left")
+    return ruled.withColumn("split", F.when(test, F.lit("test")).otherwise(F.lit("train"))).select(*df.columns, "split")
 
 
 def set_leak(train: DataFrame, test: DataFrame, key: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lurelake import params as P
 from lurelake.functions import answers as A, urls as U
 from lurelake.operators.urls import latest_per_key
+from lurelake.sources.sinks import scratch_path
 
 CSV = {"header": True, "quote": '"', "escape": '"'}
 
@@ -89,20 +90,50 @@ def read_ranked_domains(ranked: DataFrame, start: int, end: int,
         "ord", "domain"))
 
 
-def extract_sitemap_locs(docs: DataFrame, max_children: int = 3) -> DataFrame:
-    """Fetched sitemap documents (domain, url, xml, is_entry) -> page URLs (domain, loc).
+LOC = r"<loc>\s*(https?://[^<\s]+)\s*</loc>"
 
-    An index document contributes only its first ``max_children`` child documents.
+
+def sitemap_documents(docs: DataFrame, max_children: int | None = None) -> DataFrame:
+    """(domain, url, xml) of the page lists that a domain's entry documents lead to, over index documents of any
+    depth.
+
+    Breadth first over the table: each round joins the children of the index documents just reached with the
+    documents, and goes on from those not met before, so cycles and shared children end.  A round's documents are
+    written under the checkpoint folder; only their number reaches the driver.
     """
-    loc = r"<loc>\s*(https?://[^<\s]+)\s*</loc>"
+    spark = docs.sparkSession
     is_index = F.col("xml").contains("<sitemapindex")
-    entry = docs.where("is_entry")
-    children = entry.where(is_index).select("domain", F.explode_outer(F.slice(F.regexp_extract_all(
-        "xml", F.lit(r"(?s)<sitemap>.*?" + loc), F.lit(1)), 1, max_children)).alias("url"))
-    found = children.join(docs.select("url", "xml"), "url").select("domain", "xml")
-    leaves = entry.where(~is_index).select("domain", "xml").unionByName(found)
+    found = F.regexp_extract_all("xml", F.lit(r"(?s)<sitemap>.*?" + LOC), F.lit(1))
+    children = F.array_distinct(found if max_children is None else F.slice(found, 1, max_children))
+    pages = docs.select("url", "xml").where("xml IS NOT NULL").dropDuplicates(["url"])
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    frontier = written(docs.where("is_entry AND xml IS NOT NULL").select("domain", "url", "xml").dropDuplicates(
+        ["domain", "url"]), "sitemap-0")
+    reached, depth = frontier, 0
+    while frontier.limit(1).count():
+        depth += 1
+        asked = frontier.where(is_index).select("domain", F.explode_outer(children).alias("url")).where(
+            "url IS NOT NULL").distinct()
+        asked = asked.join(reached.select("domain", "url"), ["domain", "url"], "left_anti")
+        frontier = written(asked.join(pages, "url").select("domain", "url", "xml"), f"sitemap-{depth}")
+        reached = reached.unionByName(frontier)
+    return reached.where(~is_index)
+
+
+def extract_sitemap_locs(docs: DataFrame, max_children: int | None = None) -> DataFrame:
+    """Fetched sitemap documents (domain, url, xml, is_entry) -> page URLs (domain, loc) of the same domain.
+
+    All page lists that the entries lead to count, see ``sitemap_documents``; ``max_children`` bounds the
+    children of an index where a crawl is to be short.
+    """
+    leaves = sitemap_documents(docs, max_children)
     urls = leaves.select("domain", F.explode_outer(F.regexp_extract_all(
-        "xml", F.lit(loc), F.lit(1))).alias("loc")).where("loc IS NOT NULL")
+        "xml", F.lit(LOC), F.lit(1))).alias("loc")).where("loc IS NOT NULL")
     net = F.lower(U.netloc(F.col("loc")))
     same = (net == F.col("domain")) | F.endswith(net, F.concat(F.lit("."), F.col("domain")))
     return urls.where(same & U.content_url(F.col("loc"))).distinct()

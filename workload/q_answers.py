@@ -124,6 +124,39 @@ def span_locate_boundary(spark, sf):
     return OA.span_occurrences(docs, spans, "doc_id", "text")
 
 
+#: Spans of three, two and one different words from the head of each text; brute force over all hits of a document.
+RESOLVED_SQL = f"""WITH sp AS (SELECT doc_id, text, unnest([regexp_extract(text, '{LETTER}+'), regexp_extract(text, '{LETTER}+ {LETTER}+'), regexp_extract(text, '{LETTER}+ {LETTER}+ {LETTER}+')]) AS span FROM documents),
+one AS (SELECT DISTINCT doc_id, text, span FROM sp WHERE span <> '' AND len(list_distinct(string_split(lower(span), ' '))) = len(string_split(span, ' '))),
+hit AS (SELECT doc_id, span, text, unnest(range(1, length(text) - length(span) + 2)) AS p FROM one),
+own AS (SELECT doc_id, span, p - 1 AS s, p - 1 + length(span) AS e FROM hit
+WHERE lower(substr(text, p, length(span))) = lower(span) AND NOT regexp_matches(substr(text, p - 1, CASE WHEN p > 1 THEN 1 ELSE 0 END), '{LETTER}')
+AND NOT regexp_matches(substr(text, p + length(span), 1), '{LETTER}')),
+long AS (SELECT doc_id, list({{'n': -length(span), 's': s, 'span': span, 'e': e}} ORDER BY -length(span), s, span, e) AS hits FROM own GROUP BY doc_id),
+kept AS (SELECT doc_id, unnest(list_reduce(list_transform(hits, lambda h: [h]), lambda k, h: CASE WHEN len(list_filter(k, lambda x: x.s < h[1].e AND h[1].s < x.e)) > 0 THEN k ELSE k || h END)) AS h FROM long)
+SELECT doc_id, h.span AS span, h.s AS "start", h.e AS "end" FROM kept"""
+
+
+@query("span_resolve", RESOLVED_SQL)
+def span_resolve(spark, sf):
+    """Every place that a text's first word, two words or three words mark, the longest first."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    word = r"[\p{L}\p{N}_]+"
+    heads = [F.regexp_extract("text", " ".join([word] * n), 0) for n in (1, 2, 3)]
+    spans = docs.select("doc_id", F.explode(F.array_distinct(F.array(*heads))).alias("span")).where(
+        "span <> '' AND size(array_distinct(split(lower(span), ' '))) = size(split(span, ' '))")
+    return OA.resolve_spans(OA.span_occurrences(docs, spans, "doc_id", "text"), "doc_id")
+
+
+@query("span_link_targets", """WITH l AS (SELECT page_id, url, regexp_extract(url, '//([^/]*)', 1) AS host FROM pages),
+s AS (SELECT page_id, url, unnest([host, upper(host) || '/', url]) AS span FROM l)
+SELECT page_id, url AS link, arg_min(span, (-length(span), span)) AS span FROM s GROUP BY page_id, url""")
+def span_link_targets(spark, sf):
+    """A page's link against its host in two spellings and the whole link, the longest of which wins."""
+    pages = table(spark, sf, "pages").select("page_id", "url", F.regexp_extract("url", "//([^/]*)", 1).alias("host"))
+    spans = pages.select("page_id", F.explode(F.array("host", F.concat(F.upper("host"), F.lit("/")), "url")).alias("span"))
+    return OA.link_targets(pages.select("page_id", F.array("url").alias("links")), spans, "page_id")
+
+
 # ---- URL scores and fusion ----
 
 URLS = f"""{cte('scored')}, us0 AS (SELECT *, CASE WHEN html_score IS NULL THEN lexical_score ELSE 0.75::DOUBLE * lexical_score + 0.25::DOUBLE * html_score END AS p FROM scored),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from lurelake import params as P
 from lurelake.functions import urls as U
@@ -79,7 +79,8 @@ def write_chat_jsonl(spark, sf):
     return back.agg(F.sum(F.length(F.col("messages")[1]["content"])).alias("user_chars"), F.count(F.lit(1)).alias("records"))
 
 
-@query("write_debug_table")
+@query("write_debug_table", f"""WITH {CHAT} SELECT CAST(id AS VARCHAR) AS id, source, CAST(label AS VARCHAR) AS label, CASE WHEN sig = '' THEN '[]' ELSE '["urgency"]' END AS signals,
+ CASE WHEN sig = '' THEN '[]' ELSE '[' || json_object('signal', 'urgency', 'exact_span', left(text, 20), 'severity', 'high')::VARCHAR || ']' END AS evidence FROM ev""")
 def write_debug_table(spark, sf):
     path = S.scratch_path(spark, "debug")
     S.write_debug_table(chat_input(spark, sf).select("id", "source", "label", "signals", "evidence"), path)
@@ -114,17 +115,20 @@ def read_ranked_domains(spark, sf):
     return R.read_ranked_domains(spark.sql(RANKED + "{p}", p=table(spark, sf, "pages")), 1, 200)
 
 
+# three levels: an entry index, one index for each 400 pages, one list for each 40; the lists of the index before
+# lead back to the entry, so the documents hold cycles
 SITEMAPS = """
 WITH h AS (SELECT page_id, url, regexp_extract(url, '//([^/]*)', 1) AS host FROM {pages}),
 d AS (SELECT page_id, url, regexp_extract(host, '[^.]+[.][^.]+$', 0) AS domain FROM h),
-leaf AS (SELECT domain, 'https://' || domain || '/s' || CAST(page_id % 6 AS STRING) || '.xml' AS url, array_join(sort_array(collect_list('<url><loc> ' || url || ' </loc></url><loc>https://' || domain || '/</loc><loc>https://other.test/x.html</loc>')), '') AS xml FROM d GROUP BY domain, page_id % 6)
-SELECT domain, url, xml, false AS is_entry FROM leaf
-UNION ALL SELECT domain, 'https://' || domain || '/sitemap.xml', '<sitemapindex>' || array_join(sort_array(collect_list('<sitemap><loc>' || url || '</loc></sitemap>')), '') || '</sitemapindex>', true FROM leaf GROUP BY domain
+leaf AS (SELECT domain, page_id div 400 AS m, 'https://' || domain || '/l' || CAST(page_id div 40 AS STRING) || '.xml' AS url, array_join(sort_array(collect_list('<url><loc> ' || url || ' </loc></url><loc>https://' || domain || '/</loc><loc>https://other.test/x.html</loc>')), '') AS xml FROM d GROUP BY domain, page_id div 40, page_id div 400),
+mid AS (SELECT domain, 'https://' || domain || '/m' || CAST(m AS STRING) || '.xml' AS url, '<sitemapindex><sitemap><loc>https://' || domain || '/sitemap.xml</loc></sitemap>' || array_join(sort_array(collect_list('<sitemap><loc>' || url || '</loc></sitemap>')), '') || '</sitemapindex>' AS xml FROM leaf GROUP BY domain, m)
+SELECT domain, url, xml, false AS is_entry FROM leaf UNION ALL SELECT domain, url, xml, false FROM mid
+UNION ALL SELECT domain, 'https://' || domain || '/sitemap.xml', '<sitemapindex>' || array_join(sort_array(collect_list('<sitemap><loc>' || url || '</loc></sitemap>')), '') || '</sitemapindex>', true FROM mid GROUP BY domain
 """
 
 
-@query("extract_sitemap_locs", """WITH d AS (SELECT page_id % 6 AS leaf, url, regexp_extract(regexp_extract(url, '//([^/]*)', 1), '[^.]+[.][^.]+$') AS domain FROM pages)
-SELECT domain, url AS loc FROM d WHERE leaf < 3 AND NOT regexp_matches(url, '^https?://[^/]*/?([?#].*)?$')""")
+@query("extract_sitemap_locs", """WITH d AS (SELECT url, regexp_extract(regexp_extract(url, '//([^/]*)', 1), '[^.]+[.][^.]+$') AS domain FROM pages)
+SELECT DISTINCT domain, url AS loc FROM d WHERE NOT regexp_matches(url, '^https?://[^/]*/?([?#].*)?$')""")
 def extract_sitemap_locs(spark, sf):
     return R.extract_sitemap_locs(spark.sql(SITEMAPS, pages=table(spark, sf, "pages")))
 
@@ -272,6 +276,18 @@ def message_preprocess(spark, sf):
     return DS.message_preprocess(df).select("id", "label", joined(F.col("signals")).alias("signals"))
 
 
+@query("message_preprocess_counts", f"""WITH {CORPUS}, f AS (SELECT label, length(trim(text)) >= 5 AS long, label = 0 OR id % 4 < 2 AS grounded FROM corpus)
+SELECT count(*) AS rows, count(*) FILTER (NOT long) AS removed_short, count(*) FILTER (long AND NOT grounded) AS removed_no_evidence, count(*) FILTER (long AND grounded) AS kept,
+ count(*) FILTER (long AND grounded AND label = 1) AS kept_phishing, count(*) FILTER (long AND grounded AND label = 0) AS kept_legit FROM f""")
+def message_preprocess_counts(spark, sf):
+    """Counted in the pass that writes the rows."""
+    seen = Observation("preprocess")
+    df = listed(spark, sf).select("id", "text", "label", "source", F.col("raw").alias("evidence"))
+    DS.message_preprocess(df, observed=seen).write.parquet(S.scratch_path(spark, "preprocessed"))
+    names = ["rows", "removed_short", "removed_no_evidence", "kept", "kept_phishing", "kept_legit"]
+    return spark.createDataFrame([tuple(seen.get[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
 @query("dedupe_rows", "SELECT DISTINCT event_type, user_id FROM events")
 def dedupe_rows(spark, sf):
     return DS.dedupe_rows(table(spark, sf, "events").select("event_type", "user_id"))
