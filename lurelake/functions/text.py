@@ -12,6 +12,7 @@ from lurelake import params as P
 from lurelake.functions import urls as U
 from lurelake.functions.arrays import first_by_key, let
 
+# --- Fixed values: patterns that decide what counts as an address, link or placeholder ---
 ZERO_WIDTH = "\u200b\ufeff"
 EMAIL = r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,7}\b"
 LINK_END = r"[^\s\p{Z}<>'\"\)\]]"
@@ -31,6 +32,7 @@ TYPED_LINKS = (
     "|THIRD_PARTY_HOSTED_PAGE|PAYMENT_PORTAL|EVENT_REGISTRATION|DELIVERY_TRACKING"
 )
 
+# --- Fixed values: patterns built from the lists above ---
 BARE_DOMAIN = (
     rf"(?i)(?<![@\p{{L}}\p{{N}}_.\-])(?:[a-zA-Z0-9\-]{{1,63}}\.)+(?:{BARE_SUFFIXES})"
     rf"(?:/{LINK_END}*)?"
