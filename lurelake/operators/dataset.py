@@ -16,8 +16,10 @@ from lurelake.functions.arrays import first_by_key, in_list, py_round, round6
 from lurelake.operators.messages import build_text
 
 EVIDENCE = ("array<struct<signal:string,exact_span:string,severity:string,verified:boolean>>")
-#: Rows of a stratum that one window ranks, about.
-EDGE_ROWS = 65_536
+#: Hex digits of the hash prefixes that rows are counted by; 1.5 million of 10^11 rows share one.
+PREFIX = 4
+#: Above every hash.
+ABOVE = "g"
 #: The stratum of tables that have one only.
 ONE = "_one"
 
@@ -130,27 +132,27 @@ def _same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner"
 
 
 def quota_rule(keyed: DataFrame, quotas: DataFrame, strata: list[str], id_col: str) -> DataFrame:
-    """(strata, _all, _th, _tid): the hash and id of the last of the ``quota`` rows of each stratum with the
-    smallest hashes ``_h``, or ``_all`` where the stratum has no more rows.
+    """(strata, _th, _tid): the hash and id of the last of the ``quota`` rows of each stratum with the smallest
+    hashes ``_h``; a hash above all where the stratum has no more rows.  Strata that take nothing have no row.
 
     A radix selection in one lazy plan.  Rows are counted per (stratum, hash prefix); the cumulative counts
-    give the prefix in which the quota is filled, and only that prefix's rows are ranked.  The prefix is as long
-    as the stratum's count asks for, so a window ranks some EDGE_ROWS rows whatever the stratum's size.
+    give the prefix in which the quota is filled, and only that prefix's rows are ranked: a window sorts
+    1 / 16^PREFIX of a stratum, and no more than 16^PREFIX counts.
     """
-    narrow = keyed.select(*strata, F.col(id_col).alias("_id"), "_h")
-    totals = _same(narrow.groupBy(*strata).agg(F.count(F.lit(1)).alias("_total")), quotas.select(*strata, "quota"), strata)
-    digits = F.greatest(F.ceil(F.log(16.0, F.col("_total") / EDGE_ROWS)), F.lit(0)).cast("int")
-    cut = _same(narrow, totals.select(*strata, digits.alias("_digits")), strata).withColumn(
-        "_b", F.left("_h", F.col("_digits")))
-    before = W.partitionBy(*strata).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    histogram = cut.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_n")).withColumn(
-        "_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    edge = _same(histogram, totals, strata).where("_before < quota AND quota <= _before + _n AND quota < _total").select(
+    narrow = keyed.select(*strata, F.left("_h", F.lit(PREFIX)).alias("_b"), "_h", F.col(id_col).alias("_id"))
+    stratum = W.partitionBy(*strata)
+    before = stratum.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    histogram = narrow.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_n")).withColumns({
+        "_before": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_total": F.sum("_n").over(stratum)})
+    bounded = _same(histogram, quotas.select(*strata, "quota"), strata)
+    whole = bounded.where("quota >= _total AND _before + _n = _total").select(
+        *strata, F.lit(ABOVE).alias("_th"), F.lit(None).cast(narrow.schema["_id"].dataType).alias("_tid"))
+    edge = bounded.where("quota < _total AND _before < quota AND quota <= _before + _n").select(
         *strata, "_b", (F.col("quota") - F.col("_before")).alias("_need"))
     rank = F.row_number().over(W.partitionBy(*strata, "_b").orderBy("_h", "_id"))
-    last = _same(cut.select(*strata, "_b", "_h", "_id"), edge, [*strata, "_b"]).withColumn("_rn", rank).where("_rn = _need")
-    last = last.select(*strata, F.col("_h").alias("_th"), F.col("_id").alias("_tid"))
-    return _same(totals.select(*strata, (F.col("quota") >= F.col("_total")).alias("_all")), last, strata, "left")
+    last = _same(narrow, edge, [*strata, "_b"]).withColumn("_rn", rank).where("_rn = _need").select(
+        *strata, F.col("_h").alias("_th"), F.col("_id").alias("_tid"))
+    return whole.unionByName(last)
 
 
 def flag_quota(df: DataFrame, quotas: DataFrame, strata: list[str], id_col: str, seed: int = 42,
@@ -167,7 +169,7 @@ def flag_quota(df: DataFrame, quotas: DataFrame, strata: list[str], id_col: str,
     h, th = F.col("_h"), F.col("_th")
     below = (h < th) | ((h == th) & (F.col(id_col) <= F.col("_tid")))
     return _same(keyed, rule, strata, "left").withColumn(
-        out, F.coalesce(F.col("_all") | F.coalesce(below, F.lit(False)), F.lit(False))).select(*df.columns, out)
+        out, F.coalesce(below, F.lit(False))).select(*df.columns, out)
 
 
 def take_quota(df: DataFrame, quotas: DataFrame, strata: list[str], id_col: str,
@@ -210,31 +212,36 @@ def shuffle_rows(df: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
     return _hashed(df, id_col, seed).orderBy("_h", id_col).drop("_h")
 
 
-def length_edges(df: DataFrame, group_cols: list[str], text_col: str = "text",
-                 q: int = 5) -> DataFrame:
+def length_counts(df: DataFrame, group_cols: list[str], text_col: str = "text") -> DataFrame:
+    """(group, _len, _n): how many texts of a group have a length."""
+    return df.groupBy(*group_cols, F.length(text_col).alias("_len")).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def length_edges(lengths: DataFrame, group_cols: list[str], q: int = 5) -> DataFrame:
     """Interior quantile edges of the text length per group, duplicate edges dropped.
 
-    Lengths are counted first, so the percentile sees one row per distinct length.
+    The percentile sees one row per distinct length.
     """
-    lengths = df.groupBy(*group_cols, F.length(text_col).alias("_len")).agg(
-        F.count(F.lit(1)).alias("_n"))
     shares = F.array(*[F.lit(i / q) for i in range(q + 1)])
     edges = F.array_distinct(F.percentile("_len", shares, F.col("_n")))
     return lengths.groupBy(*group_cols).agg(edges.alias("_e")).withColumn(
         "_edges", F.slice("_e", 2, F.greatest(F.size("_e") - 2, F.lit(0)))).drop("_e")
 
 
+def _length_bucket(length: Column) -> Column:
+    return F.coalesce(F.size(F.filter("_edges", lambda e: length > e)), F.lit(0))
+
+
 def length_buckets(df: DataFrame, group_cols: list[str] | None = None, text_col: str = "text",
                    q: int = 5) -> DataFrame:
     """Add ``text_len`` and ``len_bucket`` (quantile bucket within the group)."""
     base = df if group_cols else df.withColumn(ONE, F.lit(1))
     keys = group_cols or [ONE]
-    edges = length_edges(base, keys, text_col, q)
+    edges = length_edges(length_counts(base, keys, text_col), keys, q)
     if not group_cols:
         edges = F.broadcast(edges)  # one row
     n = F.length(text_col)
-    out = _same(base, edges, keys, "left").withColumn("text_len", n).withColumn(
-        "len_bucket", F.coalesce(F.size(F.filter("_edges", lambda e: n > e)), F.lit(0)))
+    out = _same(base, edges, keys, "left").withColumn("text_len", n).withColumn("len_bucket", _length_bucket(n))
     return out.select(*df.columns, "text_len", "len_bucket")
 
 
@@ -242,10 +249,12 @@ def stratified_downsample(df: DataFrame, targets: DataFrame, group_cols: list[st
                           text_col: str = "text", seed: int = 42) -> DataFrame:
     """Per group keep ``target`` rows, spread over its length buckets in proportion.
 
-    The last bucket takes the remainder of the rounding.
+    The last bucket takes the remainder of the rounding.  A bucket's rows are counted by their lengths' counts.
     """
     bucketed = length_buckets(df, group_cols, text_col)
-    counts = bucketed.groupBy(*group_cols, "len_bucket").agg(F.count(F.lit(1)).alias("_c"))
+    lengths = length_counts(df, group_cols, text_col)
+    counts = _same(lengths, length_edges(lengths, group_cols), group_cols).withColumn(
+        "len_bucket", _length_bucket(F.col("_len"))).groupBy(*group_cols, "len_bucket").agg(F.sum("_n").alias("_c"))
     per_group = W.partitionBy(*group_cols)
     counts = _same(counts, targets, group_cols).withColumns({
         "_total": F.sum("_c").over(per_group),
@@ -318,7 +327,7 @@ def group_split(df: DataFrame, group_col: str, test_share: float = 0.2, seed: in
         "_h", T.stable_hash(F.col("g"), seed))
     quotas = groups.groupBy(ONE).agg(F.ceil(F.count(F.lit(1)) * test_share).alias("quota"))
     rule = F.broadcast(quota_rule(groups, quotas, [ONE], "g").drop("_tid"))  # one row
-    test = F.col("_all") | F.coalesce(T.stable_hash(F.col(group_col), seed) <= F.col("_th"), F.lit(False))
+    test = F.coalesce(T.stable_hash(F.col(group_col), seed) <= F.col("_th"), F.lit(False))
     ruled = _same(df.withColumn(ONE, F.lit(1)), rule, [ONE], "left")
     return ruled.withColumn("split", F.when(test, F.lit("test")).otherwise(F.lit("train"))).select(*df.columns, "split")
 

@@ -243,7 +243,7 @@ def test_sitemaps_of_three_levels_with_a_cycle(spark):
 def test_quotas_are_exact_and_lazy(spark, monkeypatch):
     from hashlib import md5
 
-    monkeypatch.setattr(DS, "EDGE_ROWS", 3)
+    monkeypatch.setattr(DS, "PREFIX", 1)
     rows = [(i, None if i % 7 == 0 else "abc"[i % 3]) for i in range(300)]
     quotas = {"a": 10, "b": 0, "c": 1000, None: 17}
     df = spark.createDataFrame(rows, "id long, g string")
