@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
 import zlib
 from functools import lru_cache
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from lurelake.session import shipped  # noqa: F401 - part of what the operators share
+
 #: ASCII white space, as bytes.split() has it.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -25,23 +25,6 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="lurelake-")
 
 
-_SHIPPED: set[str] = set()
-
-
-def shipped(spark: SparkSession) -> SparkSession:
-    """Send this package to the Python workers, once for an application."""
-    app = spark.sparkContext.applicationId
-    if app not in _SHIPPED:
-        root = Path(__file__).resolve().parents[2]
-        target = Path(tempfile.mkdtemp(prefix="lurelake-")) / "lurelake.zip"
-        with zipfile.ZipFile(target, "w") as z:
-            for f in sorted((root / "lurelake").rglob("*.py")):
-                z.write(f, f.relative_to(root))
-        spark.sparkContext.addPyFile(str(target))
-        _SHIPPED.add(app)
-    return spark
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder under the shared folder in spark.checkpoint.dir; where that is unset (local
     sessions only), under a folder of this process."""

@@ -56,7 +56,7 @@ def reference_runs(rows: DataFrame, window: int) -> DataFrame:
                                          "places": places.astype(np.int32)}))
             yield pd.concat(out) if out else pd.DataFrame(columns=["doc_id", "th", "block", "first", "n", "places"])
 
-    return rows.mapInPandas(find, "doc_id long, th int, block long, first int, n int, places int")
+    return rows.mapInPandas(find, "doc_id long, th long, block long, first int, n int, places int")
 
 
 def shared_windows(routed: DataFrame, window: int) -> DataFrame:
@@ -69,7 +69,7 @@ def shared_windows(routed: DataFrame, window: int) -> DataFrame:
                 out.extend((d, th, r["block"], r["salt"], r["hot"], r["first"], h[r["first"]:r["first"] + r["n"]]) for r in own)
             yield pd.DataFrame(out, columns=["doc_id", "th", "block", "salt", "hot", "first", "hashes"])
 
-    return routed.mapInPandas(hash_runs, "doc_id long, th int, block long, salt int, hot boolean, first int, hashes array<long>")
+    return routed.mapInPandas(hash_runs, "doc_id long, th long, block long, salt int, hot boolean, first int, hashes array<long>")
 
 
 def _factors(group: pd.DataFrame, window: int) -> pd.DataFrame:
@@ -121,12 +121,12 @@ def compare_runs(hashed: DataFrame, window: int) -> DataFrame:
             yield _factors(held, window)
 
     dealt = hashed.repartition("block", "salt").sortWithinPartitions("block", "salt")
-    return dealt.mapInPandas(compare, "doc_id long, th int, first int, last int, number long, count int")
+    return dealt.mapInPandas(compare, "doc_id long, th long, first int, last int, number long, count int")
 
 
 def repeated_spans(df: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, th, spans): for each document with repeated text the word ranges [first, last) to remove; th is
-    ``hash(text)``.
+    ``xxhash64(text)``.
 
     1. The reference's blocks are indexed by name: a window's name is the least hash of its 8-word grams, so
        equal windows lie in blocks of one name.  Names met once drop out (their windows are unique).
@@ -136,7 +136,7 @@ def repeated_spans(df: DataFrame, window: int = WINDOW, key: str = "doc_id", tex
     Blocks with many rows are dealt into groups; windows met once in a group are then counted over all.
     """
     shipped(df.sparkSession)
-    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.hash(text).alias("th"), F.col(text).alias("text"))
+    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     index = saved(reference_runs(rows, window), "runs")
     names = index.groupBy("block").agg(F.sum("places").alias("c")).where("c > 1")
     salt = F.pmod(F.hash("doc_id", "th", "first"), F.ceil(F.col("c") / GROUP_ROWS).cast("int"))
@@ -164,7 +164,7 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, key: str = "doc_id", tex
     """
     spans = repeated_spans(df, window, key, text).select(
         F.col("doc_id").alias("d"), F.col("th").alias("t"), "spans")
-    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.hash(text).alias("th"), F.col(text).alias("text"))
+    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     both = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
