@@ -42,6 +42,14 @@ def _grams(compact: Column) -> Column:
     return _classed("g", F.regexp_extract_all(compact, F.lit("(?=(.{4}))"), F.lit(1)))
 
 
+#: Hash slots of the keys; the broadcast table of those in use has no more rows, whatever the brands.
+SLOTS = 1 << 20
+
+
+def _slot(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SLOTS))
+
+
 def brand_keys(brand: Column, compact: Column) -> Column:
     """The index keys of a brand, every one of which a text that mentions it holds: the four-character grams
     of its compact form; of shorter brands the words; of those without any, the symbols."""
@@ -64,7 +72,8 @@ def brand_mentions(messages: DataFrame, brands: DataFrame, text_col: str = "text
 
     One index for brand tables of any size.  A brand is filed under the one of its keys that the fewest texts
     hold; texts meet brands by an equi-join on the key, and only narrow rows move until the candidates of a
-    text are gathered and tested beside it.  Brands with a key that no text holds are never looked up.
+    text are gathered and tested beside it.  Keys whose hash slot no brand uses go before anything moves.
+    Brands with a key that no text holds are never looked up.
     """
     low = F.lower(F.trim("brand"))
     table = brands.select(low.alias("brand")).where("brand <> ''").distinct().withColumn(
@@ -73,8 +82,11 @@ def brand_mentions(messages: DataFrame, brands: DataFrame, text_col: str = "text
     filed = filed.select("brand", "compact", F.size("keys").alias("n_keys"), F.explode("keys").alias("key"))
     texts = messages.select(F.col(id_col).alias("_id"), F.lower(F.col(text_col)).alias("low"))
     held = texts.select("_id", F.explode_outer(text_keys(F.col("low"), T.compact(F.col("low")))).alias("key"))
-    held = held.where(F.col("key").isNotNull())
-    met = held.join(filed.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("*").alias("texts"))
+    used = F.broadcast(filed.select(_slot(F.col("key")).alias("slot")).distinct())  # SLOTS rows at most
+    held = held.where(F.col("key").isNotNull()).withColumn("slot", _slot(F.col("key"))).join(
+        used, "slot", "left_semi").select("_id", "key")
+    met = held.join(filed.select("key").distinct(), "key", "left_semi").groupBy("key").agg(
+        F.count(F.struct("_id")).alias("texts"))
     rarest = filed.join(met, "key").groupBy("brand", "compact", "n_keys").agg(
         F.min(F.struct("texts", "key"))["key"].alias("key"), F.count("*").alias("found")).where("found = n_keys")
     wanted = held.join(rarest, "key").groupBy("_id").agg(F.collect_set(F.struct("brand", "compact")).alias("wanted"))
