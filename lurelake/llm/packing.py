@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -20,10 +20,15 @@ END = bytes(4)
 RANK_ROWS = 4096
 
 
+#: Encoded whole and stretch by stretch once, to see whether a tokenizer drops white space.
+PROBE = "Ab, c\td  don't\n\n12 3.5 \u00e9\u6f22 x_y "
+
+
 class WordTokens(dict):
     """Token ids (four bytes each) of the stretches between white space, kept for those met last.
 
-    For tokenizers that drop white space a text's ids are those of its stretches, one after the other.
+    For tokenizers that drop white space (``by_word``) a text's ids are those of its stretches, one after the
+    other; for all others whole texts are encoded.
     """
 
     LIMIT = 400_000
@@ -33,13 +38,25 @@ class WordTokens(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        parts = self.encoded([w.decode() for w in PROBE.encode().split()])
+        self.by_word = b"".join(parts) == self.encoded([PROBE])[0]
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
 
     def learn(self, words: set[bytes]) -> None:
         if len(self) + len(words) > self.LIMIT:
             self.clear()
-        new = [w for w in words if w not in self]
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        self.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in encoded)))
+        new = list(words.difference(self))
+        self.update(zip(new, self.encoded([w.decode() for w in new])))
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return self.encoded(texts)
+        words = [text.encode().split() for text in texts]
+        self.learn(set(chain.from_iterable(words)))
+        return [b"".join(map(self.__getitem__, own)) for own in words]
 
 
 _TOKENS: dict[str, WordTokens] = {}
@@ -63,11 +80,9 @@ def token_pieces(df: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKEN
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.iloc[at:at + 256]
-                texts = [(x or "").encode().split() for x in part["text"].tolist()]
-                known.learn(set(chain.from_iterable(texts)))
                 out = []
-                for k, words in zip(part["key"].tolist(), texts):
-                    ids = b"".join(map(known.__getitem__, words)) + END
+                for k, ids in zip(part["key"].tolist(), known.ids([x or "" for x in part["text"].tolist()])):
+                    ids += END
                     for piece, start in enumerate(range(0, len(ids) // 4, max_tokens)):
                         own = ids[4 * start:4 * (start + max_tokens)]
                         out.append((k, piece, start, len(own) // 4, zlib.crc32(own), own))
