@@ -272,6 +272,45 @@ def test_common_subsequence():
         assert decontamination.common_subsequence(a, b) == brute_lcs(a, b)
 
 
+def test_no_common_subsequence_is_longer_than_the_shared_words():
+    rng = random.Random(3)
+    for _ in range(200):
+        a, b = (np.array([rng.randrange(8) for _ in range(rng.randrange(1, 40))], np.uint64) for _ in range(2))
+        shared = sum(min(a.tolist().count(w), b.tolist().count(w)) for w in set(a.tolist()))
+        assert decontamination.shared_words(b, a) == shared >= brute_lcs(a.tolist(), b.tolist())
+
+
+def changed(rng, item, how):
+    """An item word for word, with some words replaced, or with a stretch moved."""
+    words = item.split()
+    if how == "edited":
+        for k in rng.sample(range(len(words) - 5), len(words) // 8):
+            words[k] = rng.choice(WORDS)
+    elif how == "moved":
+        n = len(words) // 8
+        words = words[n:-6] + words[:n] + words[-6:]
+    return " ".join(words)
+
+
+def test_recall_of_planted_items(spark):
+    """Word for word, edited and moved items: nine of ten are found, and all that is found is planted."""
+    rng = random.Random(13)
+    items = [prose(rng, rng.randrange(20, 60)) + ". Answer: " + prose(rng, 4) for _ in range(30)]
+    docs, planted = [prose(rng, rng.randrange(50, 600)) for _ in range(60)], set()
+    for i, item in enumerate(items):
+        for how in ("same", "edited", "moved"):
+            own = prose(rng, rng.randrange(0, 300)).split()
+            at = rng.randrange(len(own) + 1)
+            planted.add((len(docs), i, how))
+            docs.append(" ".join(own[:at] + [changed(rng, item, how)] + own[at:]))
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontamination.find_contamination(frame(spark, docs), benchmark).collect()}
+    for how in ("same", "edited", "moved"):
+        own = [(d, i) for d, i, h in planted if h == how]
+        assert sum(p in found for p in own) >= 0.9 * len(own), how
+    assert found <= {(d, i) for d, i, _ in planted}
+
+
 def test_decontamination(spark):
     rng = random.Random(8)
     items = [prose(rng, 30) + ". Answer: " + prose(rng, 4) for _ in range(6)]
@@ -287,21 +326,27 @@ def test_decontamination(spark):
     assert decontamination.find_contamination(frame(spark, docs), benchmark.limit(0)).count() == 0
 
 
-def tokens(texts):
+def tokens(texts, path):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(queries.tokenizer_path())
+    t = Tokenizer.from_file(path)
     return [t.encode(x or "", add_special_tokens=False).ids + [0] for x in texts]
 
 
-def test_packing(spark, texts):
+@pytest.mark.parametrize("name, by_word", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_packing(spark, texts, name, by_word):
+    import public_tokenizers
+
+    path = public_tokenizers.path(name)
+    assert packing.WordTokens(path).by_word == by_word
     docs = texts + ["word more " * 3000]
-    got = packing.pack_documents(frame(spark, docs), queries.tokenizer_path()).toPandas().sort_values(["doc_id", "piece"])
+    got = packing.pack_documents(frame(spark, docs), path).toPandas().sort_values(["doc_id", "piece"])
     want = [(d, p, s, len(ids[s:s + 2048]), zlib.crc32(np.array(ids[s:s + 2048], "<u4").tobytes()))
-            for d, ids in enumerate(tokens(docs)) for p, s in enumerate(range(0, len(ids), 2048))]
+            for d, ids in enumerate(tokens(docs, path)) for p, s in enumerate(range(0, len(ids), 2048))]
     assert list(got[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False, name=None)) == want
     for _, own in got.sort_values("offset").groupby("sequence_id"):
         assert own["offset"].tolist() == [0, *own["length"].cumsum()[:-1]] and own["length"].sum() <= 2048
+    assert got["sequence_id"].nunique() <= -(-got["length"].sum() // 2048) + 1
 
 
 def test_fullest_bin_is_the_fullest():
