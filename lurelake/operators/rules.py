@@ -235,8 +235,9 @@ def _content_signals(lists: P.RuleLists) -> Column:
 
 
 def blacklist_targets(lists: P.RuleLists) -> Column:
-    """Sender domain and the domains of the first five links, without trusted domains."""
-    first = F.transform(F.slice("_links", 1, 5), lambda s: s["domain"])
+    """Sender domain and the domains of the links, without trusted domains."""
+    links = F.col("_links") if lists.feed_links is None else F.slice("_links", 1, lists.feed_links)
+    first = F.transform(links, lambda s: s["domain"])
     official = {U.registered_name(d, lists.suffixes)
                 for v in lists.brands.values() for d in B.official_names(v)}
     skip = set(lists.skip_domains) | set(lists.free_domains) | official
@@ -249,7 +250,7 @@ def rule_signals(messages: DataFrame, lists: P.RuleLists | None = None,
                  id_col: str = "msg_id") -> DataFrame:
     """(id, message_type, sender, sender_domain, links..., signals) per message.
 
-    ``blacklist`` is a table with a ``domain`` column.  ``only`` limits the work to the
+    ``blacklist`` is a table with a ``domain`` column of domains, hosts, addresses or URLs.  ``only`` limits the work to the
     named signals.  Signals are deduplicated and stand in collector order.
     """
     lists = lists or P.RuleLists()
@@ -283,7 +284,7 @@ def rule_signals(messages: DataFrame, lists: P.RuleLists | None = None,
         blacklist_targets(lists).alias("_targets"), head.alias("_head"), tail.alias("_tail"),
     )
     if blacklist is not None and wanted(("blacklist_hit",)):
-        out = _with_blacklist(out, blacklist, id_col)
+        out = _with_blacklist(out, blacklist, lists.suffixes)
     else:
         out = out.withColumn("_black", _none())
     everything = F.concat("_head", "_black", "_tail")
@@ -296,21 +297,23 @@ def rule_signals(messages: DataFrame, lists: P.RuleLists | None = None,
     return out.withColumn("signals", signals).drop("_targets", "_head", "_tail", "_black")
 
 
-def _with_blacklist(rows: DataFrame, blacklist: DataFrame, id_col: str) -> DataFrame:
-    """Join of the targets to the feed, then of the hits back to their rows; bodies are not exploded.
+def _with_blacklist(rows: DataFrame, blacklist: DataFrame, suffixes) -> DataFrame:
+    """Join of the targets to the feed, in one pass over the messages.
 
-    No broadcast is forced: a small feed is broadcast by its size, a large one is a shuffle
-    join whose hot domains adaptive execution splits.
+    Each row is numbered where it is read and repeated for its targets; what is not in the feed goes at once, but
+    for one row a message, and the rows of a message come together again, most of them before anything moves.
+    Feed entries may be URLs, addresses or hosts.  No broadcast is forced: a small feed is broadcast by its size,
+    a large one is a shuffle join whose hot domains adaptive execution splits.
     """
-    feed = blacklist.select(F.lower(F.trim("domain")).alias("_t")).distinct()
-    long = rows.select(F.col(id_col).alias("_id"), F.col("_targets").alias("_of")).distinct()
-    hits = long.withColumn("_t", F.explode("_of")).join(feed, "_t").groupBy("_id", "_of").agg(
-        F.array_sort(F.collect_set("_t")).alias("_found"))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_targets") == F.col("_of"))
-    back = rows.join(hits, same, "left").drop("_id", "_of")
-    found = F.coalesce("_found", F.array().cast("array<string>"))
-    return back.withColumn("_black", F.transform(
-        found, lambda d: _signal("blacklist_hit", d, domain=d))).drop("_found")
+    feed = blacklist.select(U.registered_domain(F.col("domain"), suffixes).alias("_t")).where("_t <> ''").distinct()
+    feed = feed.withColumn("_listed", F.lit(True))
+    kept = [c for c in rows.columns if c != "_targets"]
+    each = rows.withColumn("_row", F.monotonically_increasing_id()).select(
+        "_row", *kept, F.posexplode_outer("_targets").alias("_at", "_t"))
+    met = each.join(feed, "_t", "left").where("_listed OR coalesce(_at, 0) = 0")
+    hit = F.when(F.col("_listed"), F.col("_t"))
+    back = met.groupBy("_row").agg(F.first(F.struct(*kept)).alias("_of"), F.array_sort(F.collect_set(hit)).alias("_found"))
+    return back.select("_of.*", F.transform("_found", lambda d: _signal("blacklist_hit", d, domain=d)).alias("_black"))
 
 
 def signal_table(rules: DataFrame, id_col: str = "msg_id") -> DataFrame:

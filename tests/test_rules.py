@@ -87,3 +87,17 @@ def test_filter_on_the_verdict_stays_plannable(spark):
     messages = spark.createDataFrame(ROWS, SCHEMA)
     out = R.rule_layer(messages, P.RuleLists(brands=BRANDS)).where("verdict = 'PHISHING'")
     assert {r["msg_id"] for r in out.select("msg_id").collect()} == {1, 3, 9}
+
+
+def test_feed_of_urls_finds_the_sixth_link(spark):
+    """Every link is looked up, feed entries are URLs, equal ids and rows without targets stay."""
+    body = " ".join(f"http://site{k}.org/p" for k in range(6))
+    rows = [(1, "email", "a@b.com", "", body, None), (1, "email", "a@b.com", "", "plain", None),
+            (None, "email", "a@b.com", "", "see http://x.site5.org", None), (2, "sms", "", "", "", None), (2, "sms", "", "", "", None)]
+    feed = spark.createDataFrame([("http://www.site5.org/login?a=1",), ("hxxp://other[.]top",), ("",), (None,)], "domain string")
+    messages = spark.createDataFrame(rows, SCHEMA)
+    out = R.rule_layer(messages, P.RuleLists(), feed).collect()
+    hits = sorted((r["msg_id"] or 0, [s["matched_text"] for s in r["signals"] if s["signal"] == "blacklist_hit"]) for r in out)
+    assert hits == [(0, ["site5.org"]), (1, []), (1, ["site5.org"]), (2, []), (2, [])]
+    first = R.rule_layer(messages, P.RuleLists(feed_links=5), feed).where("msg_id = 1").collect()
+    assert not any(s["signal"] == "blacklist_hit" for r in first for s in r["signals"])

@@ -259,7 +259,7 @@ hit0 AS (SELECT c.msg_id, brand, compact, official, off1, message_type, s, sende
  {mention('low', comp('low'))} AS in_text, {mention('slow', comp('slow'))} AS in_sender, {mention('early', comp('early'))} AS in_early FROM ctx c, brands),
 hit AS (SELECT *, in_sender OR in_early AS claimed FROM hit0 WHERE (in_text OR in_sender) AND NOT (brand = 'zalo' AND in_text
  AND regexp_matches(substr(low, greatest(strpos(low, 'zalo') - 300, 1), strpos(low, 'zalo') + 304 - greatest(strpos(low, 'zalo') - 300, 1)), '(?i){FOOTER}'))),
-tgt AS (SELECT msg_id, sender_domain AS d FROM ctx UNION SELECT msg_id, domain FROM lnk WHERE i <= 5),
+tgt AS (SELECT msg_id, sender_domain AS d FROM ctx UNION SELECT msg_id, domain FROM lnk),
 raw AS (
  SELECT msg_id, 1 AS g, 0 AS a, '' AS z, 1 AS k, 'spf_fail' AS signal, NULL AS matched_text FROM hd WHERE message_type = 'email' AND {auth('spf')} = 'fail'
  UNION ALL SELECT msg_id, 1, 0, '', 2, 'auth_soft_fail', NULL FROM hd WHERE message_type = 'email' AND {auth('spf')} IN ('softfail', 'neutral')
