@@ -137,7 +137,7 @@ def has_favicon(markup: Column) -> Column:
     return icons.cast("int")
 
 
-def visible_text(html: Column, max_chars: int = 8000) -> Column:
+def visible_text(html: Column, max_chars: int | None = None) -> Column:
     """Text nodes outside script, style, noscript, iframe and head, joined by a blank."""
     hidden = (
         r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
@@ -147,11 +147,13 @@ def visible_text(html: Column, max_chars: int = 8000) -> Column:
     nodes = F.split(F.regexp_replace(html, hidden, ""), r"<[^>]*>")
     texts = F.transform(nodes, lambda t: F.regexp_replace(
         plain_entities(t), r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
-    return F.left(F.array_join(F.filter(texts, lambda t: t != ""), " "), F.lit(max_chars))
+    text = F.array_join(F.filter(texts, lambda t: t != ""), " ")
+    return text if max_chars is None else F.left(text, F.lit(max_chars))
 
 
-def page_links(html: Column, max_links: int = 50) -> Column:
-    return F.slice(F.filter(hrefs(markup_only(html)), lambda h: h.startswith("http")), 1, max_links)
+def page_links(html: Column, max_links: int | None = None) -> Column:
+    links = F.filter(hrefs(markup_only(html)), lambda h: h.startswith("http"))
+    return links if max_links is None else F.slice(links, 1, max_links)
 
 
 def tag_count(markup: Column, name: str | None = None) -> Column:

@@ -148,11 +148,13 @@ def span_occurrences(docs: DataFrame, spans: DataFrame, id_col: str, text_col: s
         core,
         F.when(F.right(span, F.lit(1)).rlike(letter), F.lit(rf"(?!{letter})")).otherwise(F.lit("")))
     out = pairs.where(span != "").withColumn("_p", pattern)
-    out = out.withColumn("_hit", F.regexp_extract_all("_text", F.col("_p"), F.lit(0)))
-    out = out.where(F.size("_hit") > 0).withColumn("_gap", F.split(F.col("_text"), F.col("_p")))
+    out = out.withColumn("_gap", F.split(F.col("_text"), F.col("_p"))).where(F.size("_gap") > 1)
+    # the length of a match is its span's, but where white space may differ
+    out = out.withColumn("_hit", F.when(span.rlike(r"\s"), F.transform(
+        F.regexp_extract_all("_text", F.col("_p"), F.lit(0)), lambda h: F.length(h))).otherwise(
+            F.array_repeat(F.length(span), F.size("_gap") - 1)))
     # start of match i = lengths of the gaps up to i plus lengths of the matches before it
-    steps = F.transform("_hit", lambda h, i: F.struct(
-        F.length(F.get(F.col("_gap"), i)).alias("gap"), F.length(h).alias("hit")))
+    steps = F.transform("_hit", lambda h, i: F.struct(F.length(F.get(F.col("_gap"), i)).alias("gap"), h.alias("hit")))
     walked = F.aggregate(
         steps,
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out")),

@@ -42,11 +42,14 @@ def html_features(pages: DataFrame, url_col: str = "url", html_col: str = "html"
 
 
 def page_usability(pages: DataFrame, html_col: str = "html", status_col: str = "status_code",
-                   type_col: str = "content_type") -> DataFrame:
-    """Status valid/blocked/no_html/dead with the reason, from response and body."""
+                   type_col: str = "content_type", max_bytes: int | None = None) -> DataFrame:
+    """Status valid/blocked/no_html/dead with the reason, from response and body.
+
+    ``max_bytes`` bounds the reported size, for bodies that a crawl cuts there.
+    """
     html, code = F.col(html_col), F.col(status_col)
     ctype = F.lower(F.coalesce(F.col(type_col), F.lit("")))
-    size = F.least(F.octet_length(html), F.lit(P.MAX_BODY_BYTES))
+    size = F.octet_length(html) if max_bytes is None else F.least(F.octet_length(html), F.lit(max_bytes))
     staged = (
         pages.withColumn("_size", size)
         .withColumn("_blocked", any_contained(F.lower(html), P.BLOCKED_PHRASES))
@@ -87,11 +90,11 @@ def page_usability(pages: DataFrame, html_col: str = "html", status_col: str = "
     }).drop("_size", "_blocked", "_markup", "_blocks", "_tags")
 
 
-def visible_text(pages: DataFrame, html_col: str = "html", max_chars: int = 8000) -> DataFrame:
+def visible_text(pages: DataFrame, html_col: str = "html", max_chars: int | None = None) -> DataFrame:
     return pages.withColumn("visible_text", H.visible_text(F.col(html_col), max_chars))
 
 
-def page_links(pages: DataFrame, html_col: str = "html", max_links: int = 50) -> DataFrame:
+def page_links(pages: DataFrame, html_col: str = "html", max_links: int | None = None) -> DataFrame:
     return pages.withColumn("links", H.page_links(F.col(html_col), max_links))
 
 

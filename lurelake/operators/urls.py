@@ -103,7 +103,7 @@ def url_has_path_stats(df: DataFrame, label_col: str = "label", url_col: str = "
 
 
 def autolink_filter(df: DataFrame, links_col: str = "links", body_col: str = "body",
-                    max_links: int = 50) -> DataFrame:
+                    max_links: int | None = None) -> DataFrame:
     """Keep http links that are not automatic links of an e-mail domain in the body."""
     body = F.col(body_col)
 
@@ -114,7 +114,8 @@ def autolink_filter(df: DataFrame, links_col: str = "links", body_col: str = "bo
             F.concat(F.lit("://"), h))
         return link.startswith("http") & ~auto
 
-    return df.withColumn("links", F.slice(F.filter(F.col(links_col), real), 1, max_links))
+    links = F.filter(F.col(links_col), real)
+    return df.withColumn("links", links if max_links is None else F.slice(links, 1, max_links))
 
 
 def numeric_coerce(df: DataFrame, columns) -> DataFrame:

@@ -123,7 +123,7 @@ FROM ({{messages}}) m LEFT JOIN labels l ON l.doc_id = m.msg_id
 
 # pages -> scores as the URL models would give them, several URLs per message
 SCORED = """
-SELECT page_id, page_id % 97 AS msg_id, url,
+SELECT page_id, CAST(floor(page_id / 3) AS BIGINT) AS msg_id, url,
   CAST((page_id * 37) % 101 AS DOUBLE) / 100 AS lexical_score,
   CASE WHEN page_id % 4 = 3 THEN NULL ELSE CAST((page_id * 53) % 101 AS DOUBLE) / 100 END
     AS html_score,

@@ -133,10 +133,11 @@ def extract_sitemap_locs(spark, sf):
     return R.extract_sitemap_locs(spark.sql(SITEMAPS, pages=table(spark, sf, "pages")))
 
 
-@query("feed_incremental_load", f"""WITH {FEED} SELECT id, url, date, 0 AS label FROM (SELECT * FROM feed WHERE id < 9000
- QUALIFY row_number() OVER (PARTITION BY url ORDER BY id DESC) = 1) ORDER BY id DESC LIMIT 500""")
+@query("feed_incremental_load", f"""WITH {FEED} SELECT id, url, date, 0 AS label FROM (SELECT * FROM feed WHERE id < (SELECT max(id) * 9 // 10 FROM feed)
+ QUALIFY row_number() OVER (PARTITION BY url ORDER BY id DESC) = 1)""")
 def feed_incremental_load(spark, sf):
-    return R.feed_incremental_load(view(spark, sf, "feed"), 9000, 500)
+    feed = view(spark, sf, "feed")
+    return R.feed_incremental_load(feed, feed.agg(F.max("id")).first()[0] * 9 // 10)
 
 
 @query("feed_profile", f"WITH {FEED} SELECT max(date) AS newest, min(date) AS oldest, CAST(floor((epoch_us(max(date)) - epoch_us(min(date))) / 86400000000) AS BIGINT) AS span_days FROM feed")

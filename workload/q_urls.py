@@ -145,7 +145,7 @@ def url_domain_match(spark, sf):
 URL_LISTS = """lists AS (SELECT conv_id, list(url ORDER BY turn, url) AS urls FROM (
  SELECT c.conv_id, c.turn, CASE c.turn % 4 WHEN 0 THEN replace(p.url, 'example', 'Sample') || '.,)'
  WHEN 1 THEN upper(replace(p.url, 'example', 'sample')) WHEN 2 THEN p.url ELSE 'http://a.b' END AS url
- FROM conversations c JOIN pages p ON p.page_id = (c.conv_id * 3 + c.turn // 2) % 50) GROUP BY conv_id)"""
+ FROM conversations c JOIN pages p ON p.page_id = (c.conv_id * 3 + c.turn // 2) % (SELECT count(*) FROM pages)) GROUP BY conv_id)"""
 CLEAN = """cleaned AS (SELECT conv_id, i, u FROM (SELECT conv_id, i,
   rtrim(trim(urls[i]), '.,;:!?)>"''') AS u FROM (SELECT *, unnest(range(1, len(urls) + 1)) AS i FROM lists))
   WHERE length(u) >= 10 AND regexp_matches(u, '^(https?://|www[.])', 'i') AND NOT regexp_matches(u,
@@ -155,7 +155,7 @@ CLEAN = """cleaned AS (SELECT conv_id, i, u FROM (SELECT conv_id, i,
 
 def url_lists(spark, sf):
     c, p = table(spark, sf, "conversations"), table(spark, sf, "pages")
-    slot = F.expr("(conv_id * 3 + turn div 2) % 50")
+    slot = F.expr(f"(conv_id * 3 + turn div 2) % {p.count()}")
     u = F.expr("""CASE turn % 4 WHEN 0 THEN replace(url, 'example', 'Sample') || '.,)'
       WHEN 1 THEN upper(replace(url, 'example', 'sample')) WHEN 2 THEN url ELSE 'http://a.b' END""")
     both = c.join(p, p["page_id"] == slot).select("conv_id", "turn", u.alias("url"))
@@ -384,7 +384,7 @@ def _html_group(name, columns):
 for _name, _columns in HTML_GROUPS.items():
     _html_group(_name, _columns)
 
-USABLE = f"""{HTML_CTE}, us AS (SELECT page_id, label, status_code, html, least(strlen(html), 5000000) AS size,
+USABLE = f"""{HTML_CTE}, us AS (SELECT page_id, label, status_code, html, strlen(html) AS size,
  lower(content_type) AS ct, len(regexp_extract_all(markup, '<[a-zA-Z][^\\s/>]*[\\s/>]'))
  + len(list_filter(blocks, lambda b: NOT starts_with(b, '<!--'))) AS tags,
  len(regexp_extract_all(markup, '(?i)<img[\\s/>]')) > 0 AS img, len(regexp_extract_all(markup, '(?i)<a[\\s/>]')) > 0 AS a,
@@ -424,16 +424,16 @@ HIDDEN = (OPAQUE + "|<noscript\\b[^>]*>.*?</noscript\\s*>|<iframe\\b[^>]*>.*?</i
           "|<head\\b[^>]*>.*?</head\\s*>|<!doctype[^>]*>")
 
 
-@query("visible_text", f"""WITH {RICH} SELECT page_id, left(array_to_string(list_filter(list_transform(
+@query("visible_text", f"""WITH {RICH} SELECT page_id, array_to_string(list_filter(list_transform(
  regexp_split_to_array(regexp_replace(html, '{HIDDEN}', '', 'g'), '<[^>]*>'), lambda t: trim(replace(replace(replace(
  replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', chr(160)), '&amp;', '&'),
- chr(160) || ' ' || chr(9) || chr(10) || chr(13))), lambda t: t <> ''), ' '), 8000) AS visible_text FROM pages_rich""")
+ chr(160) || ' ' || chr(9) || chr(10) || chr(13))), lambda t: t <> ''), ' ') AS visible_text FROM pages_rich""")
 def visible_text(spark, sf):
     return OP.visible_text(view(spark, sf, "pages_rich")).select("page_id", "visible_text")
 
 
 @query("page_links", f"""WITH {HTML_CTE} SELECT page_id, array_to_string(list_filter(links,
- lambda l: starts_with(l, 'http'))[:50], ' | ') AS links FROM h2""")
+ lambda l: starts_with(l, 'http')), ' | ') AS links FROM h2""")
 def page_links(spark, sf):
     return OP.page_links(view(spark, sf, "pages_rich")).select(
         "page_id", joined(F.col("links")).alias("links"))
