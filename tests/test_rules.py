@@ -101,3 +101,49 @@ def test_feed_of_urls_finds_the_sixth_link(spark):
     assert hits == [(0, ["site5.org"]), (1, []), (1, ["site5.org"]), (2, []), (2, [])]
     first = R.rule_layer(messages, P.RuleLists(feed_links=5), feed).where("msg_id = 1").collect()
     assert not any(s["signal"] == "blacklist_hit" for r in first for s in r["signals"])
+
+
+ODD_TEXTS = [
+    "", " ", "plain words", "  a b　\n", "end \x85", "\xa0 x\ty \r\n\r\r\n\n z  w ",
+    "see http://a.com/x, (www.b.vn) or mail me@c.net now", "hxxps://d[.]top/q a.b@e.com.vn f.xyz", "g.com\nh.com i.com,j.com",
+    "[LINK_3] <URL> [[URL]] [FORM_REGISTRATION_LINK_2] <|URL|> k.org.", "http://localhost/ x@y.top www.z.com@", "﷐ l.com m.com",
+]
+
+
+def test_texts_are_searched_by_pieces_as_a_whole(spark):
+    """Links, gaps, ends and blanks by the quick forms equal those of one pattern over the whole text."""
+    from pyspark.sql import functions as F
+
+    from lurelake.functions import text as T, urls as U
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(ODD_TEXTS)], "id long, t string")
+    whole, t = U.defang_undo(F.col("t")), F.col("t")
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "\r\n?", "\n"), "[ \t]+", " "), "\n{3,}", "\n\n")
+    ends = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+    for quick, slow in (
+        (T.stripped(t), F.regexp_replace(t, ends, "")),
+        (T.collapse_whitespace(t), F.regexp_replace(plain, ends, "")),
+        (T.link_tokens(t), F.regexp_extract_all(t, F.lit(T.LINK_TOKEN), F.lit(0))),
+        (T.link_gaps(t), F.split(t, T.LINK_TOKEN)),
+        (T.compact(t), F.regexp_replace(F.lower(t), "[^a-z0-9]", "")),
+        (F.regexp_extract_all(U.defang_undo(T.pieces_with(t, ".", "://")), F.lit(T.EXPLICIT_URL), F.lit(0)),
+         F.regexp_extract_all(whole, F.lit(T.EXPLICIT_URL), F.lit(0))),
+        (F.regexp_extract_all(F.regexp_replace(U.defang_undo(T.pieces_with(t, ".", "://")), T.EMAIL, " "), F.lit(T.BARE_DOMAIN), F.lit(0)),
+         F.regexp_extract_all(F.regexp_replace(whole, T.EMAIL, " "), F.lit(T.BARE_DOMAIN), F.lit(0))),
+    ):
+        for row in df.select("t", quick.alias("a"), slow.alias("b")).collect():
+            assert row.a == row.b, row
+
+
+def test_keywords_and_bounded_brands(spark):
+    from pyspark.sql import functions as F
+
+    from lurelake.functions import brands as B
+    from lurelake.functions.arrays import contained_words
+
+    rows = [("verify the account",), ("mã otp của bạn",), ("mb",), ("lamb mb.",), ("amb mbx", ), (None,)]
+    df = spark.createDataFrame(rows, "t string")
+    got = df.select(contained_words(F.col("t"), ("account", "mã otp", "otp", "otp")).alias("w"),
+                    F.regexp_like("t", B.bounded(F.lit("mb"))).alias("b")).collect()
+    assert [r.w for r in got] == [["account"], ["mã otp", "otp"], [], [], [], []]
+    assert [r.b for r in got] == [False, False, True, True, False, None]
