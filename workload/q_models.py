@@ -143,8 +143,9 @@ def shap_mean_abs(spark, sf):
 def stream_score_messages(spark, sf):
     src, out, check = (scratch_path(spark, n) for n in ("messages", "scored", "check"))
     m = rule_input(spark, sf)
-    m.repartition(4).write.parquet(src)
-    stream = J.read_stream(spark, src, m.schema, 1)
+    files = spark.sparkContext.defaultParallelism  # of each of four batches
+    m.repartition(4 * files).write.parquet(src)
+    stream = J.read_stream(spark, src, m.schema, files)
     J.stream_score_messages(stream, out, check, LISTS, blacklist=blacklist(spark)).awaitTermination()
     return spark.read.parquet(out).select("msg_id", F.round("score", 6).alias("score"), "verdict", "reason")
 
