@@ -176,10 +176,10 @@ def jaccard_components(df: DataFrame, words: int = WORDS, percent: int = PERCENT
     shingles have a Jaccard similarity of ``percent`` or more, and the least key they reach.
 
     Equal sets are one class.  Classes below the boundary, which costs decide, meet in equal subsets;
-    the others in inverted lists of prefixes.  A list's members are tested against its first one; only
-    those not linked to it are tested against all, so a group of near copies costs its size, and
-    documents that merely share a passage are kept apart by the order, size and place of its shingles.
-    n_links counts tested links of the row's class with others.
+    the others in inverted lists of prefixes.  All members of a list whose sizes and places of the common
+    shingle allow a link are tested, so no link between classes is left out; documents that merely share a
+    passage are kept apart by the order, size and place of its shingles.  n_links counts the links of the
+    row's class with all other classes: as many tests as a group of near copies has pairs.
 
     Null and empty texts: size 0, no links, their own component.  Rows with equal keys are one document.
     Rows with a null key that link to none with a key have a null component.  Other columns are left out.
@@ -210,18 +210,8 @@ def jaccard_components(df: DataFrame, words: int = WORDS, percent: int = PERCENT
 
 
 def _linked_in_lists(lists: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    first = lists.groupBy("s").agg(F.min(F.struct("set", "n", "i")).alias("p"), F.count("*").alias("m")).where("m > 1")
-    met = lists.join(first, "s").select(
-        "s", "set", "n", "i", F.col("p.set").alias("pset"), F.col("p.n").alias("pn"), F.col("p.i").alias("pi")
-    ).where("set <> pset")
-    near = saved(met.where(_close("", "p", percent)).select(F.col("set").alias("a"), F.col("pset").alias("b")).distinct(), "pairs")
-    linked = saved(verified(near, classes, docs, words, percent), "linked")
-    done = linked.select(F.col("a").alias("set"), F.col("b").alias("pset"))
-    rest = met.join(done, ["set", "pset"], "left_anti").select(
-        "s", F.col("set").alias("rset"), F.col("n").alias("rn"), F.col("i").alias("ri"), "pset")
-    more = rest.join(lists, "s").where((F.col("set") != F.col("pset")) & (F.col("set") != F.col("rset")))
-    more = more.where(_close("", "r", percent)).select(
-        F.least("set", "rset").alias("a"), F.greatest("set", "rset").alias("b")).distinct()
-    more = saved(more.join(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
-    found = linked.union(verified(more, classes, docs, words, percent))
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    """Every linked pair (a < b) of sets that stand in one list: all pairs whose sizes and places allow a link are tested."""
+    other = lists.select("s", F.col("set").alias("oset"), F.col("n").alias("on"), F.col("i").alias("oi"))
+    met = lists.join(other, "s").where((F.col("set") < F.col("oset")) & _close("", "o", percent))
+    pairs = saved(met.select(F.col("set").alias("a"), F.col("oset").alias("b")).distinct(), "pairs")
+    return verified(pairs, classes, docs, words, percent)

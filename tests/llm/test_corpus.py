@@ -122,6 +122,20 @@ def test_jaccard(spark, texts):
     assert got == {d: (len(own[d]), c) for d, c in enumerate(components(len(docs), links))}
 
 
+def test_every_link_of_near_copies_counts(spark):
+    """A group whose sets are all linked, and a chain: n_links of each row as by brute force over the different sets."""
+    rng = random.Random(21)
+    docs = []
+    for n in (16, 90):
+        w = [rng.choice(WORDS) + str(k) for k in range(n)]
+        docs += [" ".join(w)] + [" ".join([*w, f"end{k}"]) for k in range(5)] + [" ".join(w[k:]) for k in (1, 2, 9)]
+    own = sets(docs, 4)
+    want = {d: sum(a != b and 100 * len(a & b) >= 85 * len(a | b) for b in {frozenset(x) for x in own})
+            for d, a in enumerate(map(frozenset, own))}
+    assert max(want.values()) >= 6
+    assert {r.doc_id: r.n_links for r in jaccard.jaccard_components(frame(spark, docs)).collect()} == want
+
+
 def test_subsets_alone_and_lists_alone_agree(spark, texts, monkeypatch):
     short = [t for t in texts if len((t or "").split()) < 45]
     want = sorted(jaccard.jaccard_components(frame(spark, short)).collect())
