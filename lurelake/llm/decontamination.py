@@ -20,10 +20,10 @@ STRIDE, STRIDES = 10, 4
 COSINE, LCS, VERBATIM, ANSWER = 0.5, 0.7, 0.9, 0.6
 #: Benchmark items that one pass over the documents searches for.
 ITEM_BLOCK = 4096
-#: Documents, about, whose passages the latent space is fitted on, beside all items.
-SAMPLE_DOCUMENTS = 1000
 #: Words of the texts that are searched together; a longer text is searched by itself.
 BATCH_WORDS = 40_000
+#: Words of the passages that are summed together, as one small dense matrix.
+SUM_WORDS = 400
 
 
 class TermHashes(WordHashes):
@@ -92,7 +92,8 @@ def latent_space(texts: DataFrame, idf: np.ndarray, rank: int = RANK, rounds: in
 
     Randomised range finder: Q starts as random columns; each round Spark sums a (a Q) over the passages' rows
     a, block of buckets by block, and Q becomes an orthonormal basis of the sum.  The last round's small
-    matrix Q'A'AQ gives the singular vectors.  What comes to the driver has the size of Q, a part at a time.
+    matrix Q'A'AQ gives the singular vectors.  What comes to the driver has the size of Q, a part at a time; a
+    round's sums come from as many tasks as there are cores, so what is shuffled does not grow with the texts.
     """
     width = rank + EXTRA
     q = orthonormal(np.random.default_rng(11).standard_normal((BUCKETS, width), np.float32))
@@ -104,12 +105,8 @@ def latent_space(texts: DataFrame, idf: np.ndarray, rank: int = RANK, rounds: in
             own, weights = shared.value
             z = np.zeros(own.shape, np.float32)
             for batch in batches:
-                for passage, often in passages_of(batch):
-                    at, tf = np.unique(passage, return_counts=True)
-                    if len(at):
-                        a = tf * weights[at]
-                        a = (a / max(1e-9, np.linalg.norm(a))).astype(np.float32)
-                        z[at] += np.outer(a, often * (a @ own[at]))
+                for words, sizes, often in passage_blocks(batch):
+                    add_products(z, own, weights, words, sizes, often)
             used = np.flatnonzero(np.abs(z).sum(1))
             for k in np.unique(used >> 10):
                 at = used[used >> 10 == k]
@@ -121,7 +118,8 @@ def latent_space(texts: DataFrame, idf: np.ndarray, rank: int = RANK, rounds: in
                 z[np.asarray(at) & 1023] += np.asarray(own).reshape(-1, width)
             return pd.DataFrame({"part": parts["part"][:1], "z": [z.astype("<f4").tobytes()]})
 
-        sums = (texts.select("text", "weight").mapInPandas(sketch, "part long, at array<long>, z array<float>")
+        sums = (texts.select("text", "weight").coalesce(texts.sparkSession.sparkContext.defaultParallelism)
+                .mapInPandas(sketch, "part long, at array<long>, z array<float>")
                 .groupBy("part").applyInPandas(add, "part long, z binary"))
         z = np.zeros((BUCKETS, width), np.float32)
         for row in sums.toLocalIterator():
@@ -142,6 +140,33 @@ def passages_of(batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, float]]:
             yield own[k:k + step], weight or 1.0
 
 
+def passage_blocks(batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(the buckets of all words, the words of each, how often each counts) of passages that are summed together."""
+    held, size = [], 0
+    for passage in passages_of(batch):
+        held.append(passage)
+        size += len(passage[0])
+        if size >= SUM_WORDS:
+            yield _block(held)
+            held, size = [], 0
+    if held:
+        yield _block(held)
+
+
+def _block(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.concatenate([p for p, _ in held]), np.array([len(p) for p, _ in held]), np.array([o for _, o in held])
+
+
+def add_products(z: np.ndarray, q: np.ndarray, weights: np.ndarray, words: np.ndarray, sizes: np.ndarray,
+                 often: np.ndarray) -> None:
+    """Add a (a Q), often times, to z for the TF-IDF row a, of length 1, of each passage (none is empty)."""
+    used, place = np.unique(words, return_inverse=True)
+    at = np.repeat(np.arange(len(sizes)) * len(used), sizes) + place
+    a = np.bincount(at, minlength=len(sizes) * len(used)).reshape(len(sizes), len(used)).astype(np.float32) * weights[used]
+    a /= np.maximum(1e-9, np.sqrt(np.einsum("ij,ij->i", a, a)))[:, None]
+    z[used] += a.T @ ((a @ q[used]) * often.astype(np.float32)[:, None])
+
+
 def common_subsequence(a: list[int], b: list[int]) -> int:
     """The length of the longest common subsequence, a's places as bits of a whole number."""
     masks: dict[int, int] = {}
@@ -271,9 +296,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
     """(key, item_id, cosine, lcs, answer, first_word, last_word): documents that hold a benchmark item, word
     for word or paraphrased, one row for each such pair, with the words around its best passage.
 
-    Document frequencies cover all documents; the latent space is that of all items and, with as much weight, of the
-    passages of some SAMPLE_DOCUMENTS documents, picked by a hash of key and text.  Every passage of every document is compared with
-    every item, ``ITEM_BLOCK`` items at a time (the query set in blocks: so much is broadcast, whatever the
+    Document frequencies cover all documents; the latent space is that of all passages of all documents and, with as
+    much weight, of all items.  Every passage of every document is compared with every item, ``ITEM_BLOCK`` items at a time (the query set in blocks: so much is broadcast, whatever the
     benchmark's size).
 
     Null and empty texts hold nothing; items without words are left out; repeated rows each give rows; an
@@ -285,10 +309,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
     n_items = items.count()
     frequencies, n = document_frequencies(rows)
     idf = np.log((n + 1) / (frequencies + 1)).astype(np.float64) + 0.05
-    some = rows.where(F.pmod(F.xxhash64("key", "text"), F.lit(max(1, n // SAMPLE_DOCUMENTS))) == 0)
-    passages = some.agg(F.sum(F.ceil(F.size(F.split("text", r"\s+")) / (STRIDE * STRIDES)))).first()[0] or 0
+    passages = rows.agg(F.sum(F.ceil(F.size(F.split("text", r"\s+")) / (STRIDE * STRIDES)))).first()[0] or 0
     weight = max(1.0, passages / max(1, n_items))  # items and passages weigh alike
-    space = latent_space(items.select("text", F.lit(weight).alias("weight")).union(some.select("text", F.lit(0.0))), idf)
+    space = latent_space(items.select("text", F.lit(weight).alias("weight")).union(rows.select("text", F.lit(0.0))), idf)
     space = np.concatenate([space, np.zeros((1, space.shape[1]), np.float32)])  # of no word
     kind = {"key": docs.schema[key].dataType.simpleString(), "item_id": benchmark.schema["item_id"].dataType.simpleString()}
     schema = (f"key {kind['key']}, item_id {kind['item_id']}, cosine double, lcs double, answer double, "

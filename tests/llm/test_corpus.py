@@ -307,6 +307,37 @@ def changed(rng, item, how):
     return " ".join(words)
 
 
+def test_latent_space_is_fitted_on_all_documents(spark, monkeypatch):
+    """Above a thousand documents, too, every document and every item gives its passages."""
+    own = decontamination.latent_space
+    seen = []
+
+    def fitted(texts, idf, **kw):
+        seen.append((texts.where("weight = 0").count(), texts.where("weight > 0").count()))
+        return own(texts, idf, **kw)
+
+    monkeypatch.setattr(decontamination, "latent_space", fitted)
+    benchmark = spark.createDataFrame([(1, "one two three. Answer: four")], "item_id long, text string")
+    decontamination.find_contamination(frame(spark, [f"words of {i}" for i in range(2500)]), benchmark).collect()
+    assert seen == [(2500, 1)]
+
+
+def test_sums_of_passages():
+    rng = np.random.default_rng(4)
+    q, weights = rng.standard_normal((decontamination.BUCKETS, 5)).astype(np.float32), rng.random(decontamination.BUCKETS).astype(np.float32) + 0.1
+    own = [rng.integers(0, 9, n) for n in (1, 40, 7, 40)]
+    often = np.array([1.0, 2.5, 1.0, 1.0])
+    want = np.zeros_like(q)
+    for p, o in zip(own, often):
+        at, tf = np.unique(p, return_counts=True)
+        a = tf * weights[at]
+        a = a / np.linalg.norm(a)
+        want[at] += np.outer(a, o * (a @ q[at]))
+    got = np.zeros_like(q)
+    decontamination.add_products(got, q, weights, np.concatenate(own), np.array([len(p) for p in own]), often)
+    assert np.allclose(got, want, atol=1e-5)
+
+
 def test_recall_of_planted_items(spark):
     """Word for word, edited and moved items: nine of ten are found, and all that is found is planted."""
     rng = random.Random(13)
