@@ -240,8 +240,9 @@ def length_buckets(df: DataFrame, group_cols: list[str] | None = None, text_col:
     edges = length_edges(length_counts(base, keys, text_col), keys, q)
     if not group_cols:
         edges = F.broadcast(edges)  # one row
-    n = F.length(text_col)
-    out = _same(base, edges, keys, "left").withColumn("text_len", n).withColumn("len_bucket", _length_bucket(n))
+    # the length goes through the join, so a caller that keeps no text moves none
+    out = _same(base.withColumn("text_len", F.length(text_col)), edges, keys, "left").withColumn(
+        "len_bucket", _length_bucket(F.col("text_len")))
     return out.select(*df.columns, "text_len", "len_bucket")
 
 
