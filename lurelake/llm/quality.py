@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from lurelake.llm.common import WordHashes, mixed, shipped
+from lurelake.llm.common import mixed, shipped, xxh3_64_intdigest
 
 #: Rows of the labelled sample (fewest hashes of the id first): the bound of what the driver trains on.
 SAMPLE_ROWS = 3000
@@ -21,9 +21,6 @@ GRAMS = (2, 3, 4)
 TWICE = BUCKETS
 
 
-HASHES = WordHashes()
-
-
 def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, word's place) of each word and of the byte n-grams of <word>, all words at once."""
     n = len(words)
@@ -33,7 +30,7 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, words), np.int64, n) + 2
     ends = np.repeat(np.cumsum(sizes), sizes)
     owner = np.repeat(np.arange(n), sizes)
-    hashes, owners = [HASHES.of(words)], [np.arange(n)]
+    hashes, owners = [np.fromiter(map(xxh3_64_intdigest, words), np.uint64, n)], [np.arange(n)]
     for size in GRAMS:
         at = np.flatnonzero(np.arange(len(joined)) + size <= ends)
         h = np.full(len(at), size, np.uint64)
@@ -115,7 +112,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable, rows
 class WordScores(dict):
     """For each word the sum of its features' scores, and their number as the imaginary part."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __init__(self, scores: np.ndarray):
         self.scores = scores
