@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from lurelake.llm.common import WordHashes, mixed, shipped
+from lurelake.llm.common import WordHashes, saved, shipped, xxh3_64_intdigest
 
 #: Hashed vocabulary, latent dimensions and the randomised range finder's extra columns.
 BUCKETS, RANK, EXTRA = 1 << 16, 64, 16
@@ -22,27 +22,31 @@ COSINE, LCS, VERBATIM, ANSWER = 0.5, 0.7, 0.9, 0.6
 ITEM_BLOCK = 4096
 #: Words of the texts that are searched together; a longer text is searched by itself.
 BATCH_WORDS = 40_000
+#: ASCII white space, as bytes.split() has it.
+WHITE = " \t\n\r\x0b\f"
 #: Words of the passages that are summed together, as one small dense matrix.
 SUM_WORDS = 400
 
 
 class TermHashes(WordHashes):
-    """Numbers of words in lower case without marks at their ends."""
+    """Numbers of words, which are in lower case, without marks at their ends."""
 
     def __missing__(self, word: bytes) -> int:
-        import xxhash
-
         if len(self) >= self.LIMIT:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.decode().lower().strip(".,;:!?\"'()[]").encode())
+        h = self[word] = xxh3_64_intdigest(word.strip(b".,;:!?\"'()[]"))
         return h
 
 
 TERMS = TermHashes()
 
 
+def forget_terms() -> None:
+    TERMS.clear()
+
+
 def terms(text: str | None) -> np.ndarray:
-    return TERMS.of((text or "").encode().split())
+    return TERMS.of((text or "").lower().encode().split())
 
 
 def answer_start(text: str) -> int:
@@ -55,20 +59,39 @@ def answer_start(text: str) -> int:
     return ends[-1] if ends else 0
 
 
+def bucketed(texts: DataFrame) -> DataFrame:
+    """(words, parts, weight) of texts (text, weight): the bucket of each word (two bytes), and how many parts white
+    space makes of the text (null: null)."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                part = batch.iloc[at:at + 512]
+                own = part["text"].tolist()
+                words = [terms(t) for t in own]
+                yield pd.DataFrame({
+                    "words": [(w & np.uint64(BUCKETS - 1)).astype("<u2").tobytes() for w in words],
+                    "parts": pd.array([None if t is None else max(1, len(w) + sum(c in WHITE for c in (t[:1], t[-1:]) if c))
+                                       for t, w in zip(own, words)], "Int32"),
+                    "weight": part["weight"].array})
+        forget_terms()
+
+    return texts.select("text", "weight").mapInPandas(run, "words binary, parts int, weight double")
+
+
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """(documents with a word of each bucket, documents), over all documents; BUCKETS sums at most come
-    to the driver."""
+    """(documents with a word of each bucket, documents), over all documents' ``bucketed`` words; BUCKETS sums at
+    most come to the driver."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, n = np.zeros(BUCKETS + 1, np.int64), 0
         for batch in batches:
-            for text in batch["text"].tolist():
-                total[np.unique((terms(text) & np.uint64(BUCKETS - 1)).astype(np.int64))] += 1
+            for words in batch["words"].tolist():
+                total[np.unique(np.frombuffer(words, "<u2"))] += 1
                 n += 1
         total[BUCKETS] = n
         at = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": at, "n": total[at]})
 
-    rows = docs.select("text").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.select("words").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     total = np.zeros(BUCKETS + 1, np.int64)
     total[rows["bucket"].to_numpy(dtype=int)] = rows["n"].to_numpy(dtype=int)
     return total[:BUCKETS], int(total[BUCKETS])
@@ -87,7 +110,7 @@ def orthonormal(z: np.ndarray) -> np.ndarray:
 
 def latent_space(texts: DataFrame, idf: np.ndarray, rank: int = RANK, rounds: int = 2) -> np.ndarray:
     """(BUCKETS, rank): the leading right singular vectors of the TF-IDF matrix A of the texts' passages, scaled
-    by idf.  ``texts`` is (text, weight): texts with a weight are one passage that counts so often, others one for
+    by idf.  ``texts`` is ``bucketed``: texts with a weight are one passage that counts so often, others one for
     each STRIDE * STRIDES words.
 
     Randomised range finder: Q starts as random columns; each round Spark sums a (a Q) over the passages' rows
@@ -118,7 +141,7 @@ def latent_space(texts: DataFrame, idf: np.ndarray, rank: int = RANK, rounds: in
                 z[np.asarray(at) & 1023] += np.asarray(own).reshape(-1, width)
             return pd.DataFrame({"part": parts["part"][:1], "z": [z.astype("<f4").tobytes()]})
 
-        sums = (texts.select("text", "weight").coalesce(texts.sparkSession.sparkContext.defaultParallelism)
+        sums = (texts.select("words", "weight").coalesce(texts.sparkSession.sparkContext.defaultParallelism)
                 .mapInPandas(sketch, "part long, at array<long>, z array<float>")
                 .groupBy("part").applyInPandas(add, "part long, z binary"))
         z = np.zeros((BUCKETS, width), np.float32)
@@ -133,8 +156,8 @@ def latent_space(texts: DataFrame, idf: np.ndarray, rank: int = RANK, rounds: in
 
 def passages_of(batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, float]]:
     """(the buckets of the words, how often it counts) of each passage."""
-    for text, weight in zip(batch["text"].tolist(), batch["weight"].tolist()):
-        own = (terms(text) & np.uint64(BUCKETS - 1)).astype(np.int64)
+    for words, weight in zip(batch["words"].tolist(), batch["weight"].tolist()):
+        own = np.frombuffer(words, "<u2").astype(np.int64)
         step = len(own) if weight > 0 else STRIDE * STRIDES
         for k in range(0, len(own), max(1, step)):
             yield own[k:k + step], weight or 1.0
@@ -307,11 +330,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     items = benchmark.select("item_id", "text").where("text is not null")
     n_items = items.count()
-    frequencies, n = document_frequencies(rows)
+    words = saved(bucketed(rows.select("text", F.lit(0.0).alias("weight"))), "document-words")
+    frequencies, n = document_frequencies(words)
     idf = np.log((n + 1) / (frequencies + 1)).astype(np.float64) + 0.05
-    passages = rows.agg(F.sum(F.ceil(F.size(F.split("text", r"\s+")) / (STRIDE * STRIDES)))).first()[0] or 0
+    passages = words.agg(F.sum(F.ceil(F.col("parts") / (STRIDE * STRIDES)))).first()[0] or 0
     weight = max(1.0, passages / max(1, n_items))  # items and passages weigh alike
-    space = latent_space(items.select("text", F.lit(weight).alias("weight")).union(rows.select("text", F.lit(0.0))), idf)
+    space = latent_space(bucketed(items.select("text", F.lit(weight).alias("weight"))).union(words), idf)
     space = np.concatenate([space, np.zeros((1, space.shape[1]), np.float32)])  # of no word
     kind = {"key": docs.schema[key].dataType.simpleString(), "item_id": benchmark.schema["item_id"].dataType.simpleString()}
     schema = (f"key {kind['key']}, item_id {kind['item_id']}, cosine double, lcs double, answer double, "
@@ -330,6 +354,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
                     hits = [(keys[at + d], shared.value.ids[i], *rest)
                             for d, i, *rest in search(own, shared_space.value, shared.value)]
                     yield pd.DataFrame(hits, columns=["key", "item_id", "cosine", "lcs", "answer", "first_word", "last_word"])
+            forget_terms()
 
         found = rows.mapInPandas(run, schema)
         out = found if out is None else out.union(found)
