@@ -7,6 +7,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from itertools import chain
+from string import ascii_letters, ascii_lowercase
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -24,14 +25,23 @@ RANK_ROWS = 4096
 PROBE = "Ab, c\td  don't\n\n12 3.5 \u00e9\u6f22 x_y "
 
 
+#: Each ASCII letter in both cases, to see whether a tokenizer tells them apart.
+LETTERS = "The quick BROWN fox JUMPS over the lazy DOG, pack my BOX with five dozen LIQUOR jugs"
+#: Marks that may follow a word's last letter; those of contractions are left out.
+MARKS = b".,;:!?$%&*#@)]}\"-"
+
+
 class WordTokens(dict):
     """Token ids (four bytes each) of the stretches between white space, kept for those met last.
 
     For tokenizers that drop white space (``by_word``) a text's ids are those of its stretches, one after the
-    other; for all others whole texts are encoded.
+    other; for all others whole texts are encoded.  A stretch that is not known is parted: into its stem, up to its
+    last letter, in lower case where the tokenizer does not tell cases apart (``folds``), and the marks behind it,
+    where the tokenizer always parts those from letters.  Stems that are looked up stay for another ``STEMS`` of
+    them.
     """
 
-    LIMIT = 400_000
+    LIMIT, STEMS = 300_000, 200_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -40,16 +50,55 @@ class WordTokens(dict):
         self.tokenizer = Tokenizer.from_file(path)
         parts = self.encoded([w.decode() for w in PROBE.encode().split()])
         self.by_word = b"".join(parts) == self.encoded([PROBE])[0]
+        one, other, lower = self.encoded([LETTERS, LETTERS.swapcase(), LETTERS.lower()])
+        self.folds = one == other == lower
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.plain_added = any(a.strip(MARKS + ascii_lowercase.encode()) == b"" for a in self.added)
+        self.loose: dict[bytes, bool] = {}
+        self.stems: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
+    def is_loose(self, marks: bytes) -> bool:
+        """Whether the tokenizer parts the marks from any letter before them."""
+        if marks not in self.loose:
+            cut = self.tokenizer.pre_tokenizer
+            self.loose[marks] = cut is not None and all(
+                any(start == 1 for _, (start, _) in cut.pre_tokenize_str(c + marks.decode())) for c in ascii_letters)
+        return self.loose[marks]
+
+    def parted(self, word: bytes) -> tuple[bytes, bytes]:
+        stem = word.rstrip(MARKS)
+        if not stem.isalpha() or self.plain_added:
+            if not stem[-1:].isalpha() or any(a in word.lower() for a in self.added):
+                return word, b""
+        marks = word[len(stem):]
+        if marks and not self.is_loose(marks):
+            return word, b""
+        return stem.lower() if self.folds else stem, marks
+
     def learn(self, words: set[bytes]) -> None:
-        if len(self) + len(words) > self.LIMIT:
+        new = [w for w in words if w not in self]
+        if len(self) + len(new) > self.LIMIT:
             self.clear()
-        new = list(words.difference(self))
-        self.update(zip(new, self.encoded([w.decode() for w in new])))
+            new = words
+        new = [(w, *self.parted(w)) for w in new]
+        wanted = {part for _, *parts in new for part in parts if part}
+        if len(self.stems) + len(wanted) > self.STEMS:
+            self.before, self.stems = self.stems, {}
+        stems, before = self.stems, self.before
+        missing = []
+        for part in wanted:
+            if part not in stems:
+                if part in before:
+                    stems[part] = before[part]
+                else:
+                    missing.append(part)
+        stems.update(zip(missing, self.encoded([w.decode() for w in missing])))
+        self.update((w, stems[stem] + stems[marks] if marks else stems[stem]) for w, stem, marks in new)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
@@ -58,6 +107,11 @@ class WordTokens(dict):
         self.learn(set(chain.from_iterable(words)))
         return [b"".join(map(self.__getitem__, own)) for own in words]
 
+    def forget(self) -> None:
+        """Spark uses a Python worker again for other stages."""
+        self.clear()
+        self.stems, self.before = {}, {}
+
 
 _TOKENS: dict[str, WordTokens] = {}
 
@@ -88,6 +142,7 @@ def token_pieces(df: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKEN
                         out.append((k, piece, start, len(own) // 4, zlib.crc32(own), own))
                 frame = pd.DataFrame(out, columns=["key", "piece", "start", "length", "ids_crc32", "ids"])
                 yield frame if keep_ids else frame.drop(columns="ids")
+        known.forget()
 
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     shipped(df.sparkSession)
